@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import xxhash
@@ -52,6 +53,90 @@ def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
     return distinct(mix(out))
 
 
+def slices(sizes: Sequence[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring rows whose sizes sum to about `most`; a larger row stands alone. Bounds what a task expands at once."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions of many ranges, one after the other."""
+    ends = np.cumsum(lengths)
+    out = np.repeat(starts - (ends - lengths), lengths)
+    return out + np.arange(len(out))
+
+
+class Memo:
+    """Results of a function of strings, kept for the strings met before, as ranges of one array.
+
+    compute(list of new strings) gives one sequence of numbers for each. The memory is bounded: beyond
+    `most` kept strings or numbers it starts afresh. Results never depend on what is kept.
+    """
+
+    def __init__(self, compute: Callable[[list], list], dtype, most: int = 250_000):
+        self.compute, self.dtype, self.most = compute, dtype, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index: dict = {}
+        self.start, self.length, self.data, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, self.dtype), 0
+
+    def at(self, items: list) -> np.ndarray:
+        """Positions of items in start and length; valid until the next call."""
+        new = list(set(items).difference(self.index))
+        if len(self.index) + len(new) > self.most or self.used > 8 * self.most:
+            self._clear()
+            new = list(set(items))
+        if new:
+            self._add(new)
+        return np.fromiter(map(self.index.__getitem__, items), np.int64, len(items))
+
+    def _add(self, new: list) -> None:
+        found, n = self.compute(new), len(self.index)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        total, end = int(lengths.sum()), n + len(new)
+        if end > len(self.start):
+            grown = max(end, 2 * len(self.start))
+            self.start, self.length = np.resize(self.start, grown), np.resize(self.length, grown)
+        if self.used + total > len(self.data):
+            self.data = np.resize(self.data, max(self.used + total, 2 * len(self.data)))
+        self.start[n:end], self.length[n:end] = self.used + np.cumsum(lengths) - lengths, lengths
+        if total:
+            self.data[self.used : self.used + total] = np.concatenate([np.asarray(x, self.dtype) for x in found if len(x)])
+        self.used += total
+        self.index.update(zip(new, range(n, end)))
+
+    def values(self, items: list) -> tuple[np.ndarray, np.ndarray]:
+        """(all numbers in order, how many each item has)."""
+        at = self.at(items)
+        lengths = self.length[at]
+        return self.data[ragged(self.start[at], lengths)], lengths
+
+
+def held_out(id_col: str = "doc_id"):
+    """True for the fifth of rows that no label is learnt from: crc32 of the id as text, modulo 5, is 0."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, y): at most `rows` labelled documents outside the held-out fifth, half of them of each class as far as there are.
+
+    The sample is the first `rows` in order of a hash of the id. Null labels and ids whose labels differ are left out.
+    """
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
+    known = known.where(~held_out("_id")).groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").drop("_z")
+    halves = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows // 2) for y in (0, 1)]
+    chosen = F.broadcast(halves[0].union(halves[1]))  # at most `rows` rows of two numbers
+    docs = documents.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.join(chosen, "_id").select("text", F.col("_y").alias("y"))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for tables that cut lineage: spark.checkpoint.dir, or in a session without one (tests) a new local folder."""
     context = spark.sparkContext

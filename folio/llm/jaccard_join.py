@@ -367,3 +367,10 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         near = components(step.union(more))
     out = rows.join(near, rows.doc_id == near.node, "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def without_near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = 0.8) -> DataFrame:
+    """Rows of documents, with all their columns, whose id is the least of its component. Rows without an id stay."""
+    found = jaccard_components(documents, id_col, text_col, k, similarity)
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return documents.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
