@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, jaccard_join, packing, quality, toxicity
+from . import bpe, exact_dedup, jaccard_join, packing, quality, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op5_toxicity, op6_quality_classifier, op9_exact_dedup, op10_packing)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op5_toxicity, op6_quality_classifier, op8_topk_search, op9_exact_dedup, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -60,6 +64,18 @@ ORACLE_SQL: dict[str, str] = {
         ), k AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
         SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, k.component_id
         FROM documents d JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op8_topk_search": r"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), e AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM v),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+            FROM e q JOIN e c ON q.i = c.i AND q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id GROUP BY 1, 2
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 5""",
     "op9_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
