@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, jaccard_join, packing, quality, topk_search, toxicity
+from . import bpe, exact_dedup, html_extraction, jaccard_join, license_scan, packing, quality, token_counts, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,15 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return token_counts.edited_token_counts(documents, token_counts.sample_edits(documents))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -29,6 +38,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -42,7 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op5_toxicity, op6_quality_classifier, op8_topk_search, op9_exact_dedup, op10_packing)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op3_token_counts, op4_license_scan, op5_toxicity, op6_quality_classifier, op7_html_extraction, op8_topk_search, op9_exact_dedup, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
