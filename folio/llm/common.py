@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -108,7 +109,7 @@ class Memo:
             self.data = np.resize(self.data, max(self.used + total, 2 * len(self.data)))
         self.start[n:end], self.length[n:end] = self.used + np.cumsum(lengths) - lengths, lengths
         if total:
-            self.data[self.used : self.used + total] = np.concatenate([np.asarray(x, self.dtype) for x in found if len(x)])
+            self.data[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), self.dtype, total)
         self.used += total
         self.index.update(zip(new, range(n, end)))
 

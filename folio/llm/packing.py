@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +34,10 @@ DIMENSIONS, BITS, BUCKETS = 4, 12, 1024
 _WHITE = r"\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[^{_WHITE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
+#: Between a letter and a sign other than an apostrophe the tokenizer cuts as at a space.
+_SIGNS = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[.,;:!?*$%#&])")
+#: Letters that Python lowers otherwise than one by one, as the tokenizer does.
+_CASE = re.compile("[\u0130\u03a3]")
 
 
 def default_tokenizer() -> str:
@@ -50,10 +55,12 @@ class WordTokenizer:
         self.memo = Memo(self._chunks, np.uint32, 300_000)
 
     def _chunks(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for lo in range(0, len(chunks), 4096) for e in self.tokenizer.encode_batch(chunks[lo : lo + 4096], add_special_tokens=False)]
+        return [e.ids for lo in range(0, len(chunks), 4096) for e in self.tokenizer.encode_batch_fast(chunks[lo : lo + 4096], add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, the number of ids of each text)."""
+        texts = [t if _CASE.search(t) or not unicodedata.is_normalized("NFC", t) else t.lower() for t in texts]
+        texts = [_SIGNS.sub(" ", t) for t in texts]
         chunks = [_CHUNK.findall(t) if _ODD.search(t) else t.split() for t in texts]
         ids, lengths = self.memo.values([c for some in chunks for c in some])
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([len(some) for some in chunks])] if chunks else np.zeros(0, np.int64)
