@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SHINGLE, components, distinct, mix, shingle_hashes, written
@@ -37,7 +37,9 @@ BUCKETS, CHUNK, SLOTS = 1 << 20, 1 << 16, 16
 #: Frequent shingles are dealt to this many groups before their groups meet.
 SALTS = 16
 #: Candidates of one anchor in one trie, about.
-TRIE_SIZE = 512
+TRIE_SIZE = 256
+#: Anchors that a document is compared with before pairs of different components are.
+STARS = 2
 #: Document ids are sent to all tasks up to this many (8 bytes each), else joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _CLASS_SHIFT = np.uint64(56)
@@ -112,7 +114,7 @@ def _profile(k: int):
         from pyspark import TaskContext
 
         counts = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
             sets = [shingle_hashes(t, k) for t in batch.column("text").to_pylist()]
             every = np.concatenate([*sets, np.empty(0, np.uint64)]) & np.uint64(BUCKETS - 1)
             counts += np.bincount(every.astype(np.int64), minlength=BUCKETS)
@@ -184,7 +186,7 @@ def _prefixes(k: int, similarity: float, classes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
         table = classes.value
-        for pdf in batches:
+        for pdf in (b[lo : lo + 1000] for b in batches for lo in range(0, len(b), 1000)):
             out: list[tuple] = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 h = shingle_hashes(text, k)
@@ -348,7 +350,9 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     columns = ["anchor", "doc", "na", "n", "ra", "rank"]
     # Any choice of stars is right here: what they miss is compared below.
     stars = shared.select(columns).union(met.select(columns)).where("anchor <> doc").groupBy("anchor", "doc", "na", "n").agg(F.min("ra").alias("ra"), F.min("rank").alias("rank"), F.count("*").alias("common"))
-    stars = stars.where(_possible(num, den)).where(F.col("common") * 2 * den >= F.least("na", "n") * (den - num))
+    # A document goes to the STARS anchors that share most with it: in a large group of near copies each key has another anchor.
+    nearest = Window.partitionBy("doc").orderBy(F.desc("common"), "anchor")
+    stars = stars.where(_possible(num, den)).withColumn("nearest", F.row_number().over(nearest)).where(F.col("nearest") <= STARS)
     links = written(verified_links(docs, stars, k, similarity, classes))
     near = components(equal.union(links))
 
