@@ -11,9 +11,12 @@ of the first n - ceil(t n) + 1 shingles of both, in whatever global order.
    partition go once; shingles of frequent buckets are salted.
 3. Documents that share a prefix shingle are compared with one anchor of their group first:
    this connects groups of near copies by links in proportion to their size.
-4. What is still in different components is compared pair by pair under the bounds of size and
+4. While a key's documents of different components would make many pairs, each is compared with
+   its neighbours in a shuffled order first, in a few rounds: a group of near copies of which only
+   some link becomes one component in a number of comparisons in proportion to its size.
+5. What is still in different components is compared pair by pair under the bounds of size and
    position; pairs inside a component can change no component.
-5. Comparison puts the anchor's candidates into a trie of ordered sets (sorted sequences with
+6. Comparison puts the anchor's candidates into a trie of ordered sets (sorted sequences with
    common-prefix lengths), walks it once, reuses the overlap of shared paths, and leaves a
    subtree when what remains cannot reach the overlap needed.
 """
@@ -40,6 +43,8 @@ SALTS = 16
 TRIE_SIZE = 256
 #: Anchors that a document is compared with before pairs of different components are.
 STARS = 2
+#: Pairs of different components per row of their keys above which neighbours are compared first; how many neighbours, in how many rounds at most.
+CROWDED, NEIGHBOURS, ROUNDS = 4, 8, 4
 #: Document ids are sent to all tasks up to this many (8 bytes each), else joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _CLASS_SHIFT = np.uint64(56)
@@ -251,14 +256,17 @@ def _anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _PAIR = "anchor long, doc long, na int, n int, ra int, rank int, la long, last long"
 
 
-def _cross_pairs(similarity: float):
-    """Pairs of one token's documents from different components whose sizes can match. Rows come in order of token."""
+def _cross_pairs(similarity: float, most: int | None = None):
+    """Pairs of one token's documents from different components whose sizes can match. Rows come in order of token.
+
+    With `most`, only rows at most so many places apart, and memory is one batch.
+    """
     num, den = _cut(similarity)
 
     def pairs(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         c = {name: pdf[name].to_numpy(np.int64) for name in ("token", "doc", "n", "rank", "last", "comp")}
         i, step = np.arange(len(pdf) - 1), 1
-        while len(i := i[i + step < len(pdf)]) and len(i := i[c["token"][i] == c["token"][i + step]]):
+        while (most is None or step <= most) and len(i := i[i + step < len(pdf)]) and len(i := i[c["token"][i] == c["token"][i + step]]):
             j = i + step
             small, large = np.minimum(c["n"][i], c["n"][j]), np.maximum(c["n"][i], c["n"][j])
             ok = (c["comp"][i] != c["comp"][j]) & (small * den >= large * num)
@@ -269,6 +277,13 @@ def _cross_pairs(similarity: float):
                 yield pd.DataFrame({"anchor": c["doc"][x], "doc": c["doc"][y], "na": c["n"][x], "n": c["n"][y], "ra": c["rank"][x], "rank": c["rank"][y], "la": c["last"][x], "last": c["last"][y]})
             step += 1
 
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail: list[pd.DataFrame] = []
+        for pdf in batches:
+            pdf = pd.concat([*tail, pdf], ignore_index=True)
+            tail = [pdf[-most:]]
+            yield from pairs(pdf)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for pdf in batches:
@@ -284,7 +299,7 @@ def _cross_pairs(similarity: float):
         if held:
             yield from pairs(pd.concat(held, ignore_index=True))
 
-    return run
+    return run if most is None else near
 
 
 def _verified(similarity: float):
@@ -356,19 +371,38 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     links = written(verified_links(docs, stars, k, similarity, classes))
     near = components(equal.union(links))
 
-    labelled = shared.join(near, shared.doc == near.node, "left").select("token", "doc", "n", "rank", "last", F.coalesce("component", "doc").alias("comp"))
     same = equal.select("a", F.col("b").alias("doc"))
-    labelled = written(labelled.join(same, "doc", "left").select("token", F.coalesce("a", "doc").alias("doc"), "n", "rank", "last", "comp").distinct())
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    rest = labelled.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token").mapInPandas(_cross_pairs(similarity), _PAIR)
-    rest = rest.groupBy("anchor", "doc", "na", "n", "la", "last").agg(F.min("ra").alias("ra"), F.min("rank").alias("rank"), F.count("*").alias("common"))
+    # Equal sets have one row, under the document that they are linked to.
+    shared = shared.select("token", "salt", "doc", "n", "rank", "last").join(same, "doc", "left")
+    shared = written(shared.select("token", "salt", F.coalesce("a", "doc").alias("doc"), "n", "rank", "last").distinct())
     # What both prefixes share, and what may follow the prefix that ends first.
     after = F.when(F.col("la") < F.col("last"), F.col("na")).when(F.col("la") > F.col("last"), F.col("n")).otherwise(F.least("na", "n"))
-    rest = rest.where(_possible(num, den)).where((F.col("common") + F.ceil(after * num / den) - 1) * (num + den) >= num * (F.col("na") + F.col("n")))
-    more = written(verified_links(docs, rest, k, similarity, classes))
-    if not more.isEmpty():
-        step = near.select(F.col("component").alias("a"), F.col("node").alias("b"))
-        near = components(step.union(more))
+    before, settled = 0, False
+    for turn in range(ROUNDS + 1):
+        labelled = written(shared.join(near, shared.doc == near.node, "left").select(*shared.columns, F.coalesce("component", "doc").alias("comp")))
+        mixed = labelled.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        mixed = written(mixed.where("rows * rows > same"))
+        left, crossing = mixed.agg(F.sum("rows"), F.sum(F.expr("(rows * rows - same) / 2"))).first()
+        if not left:
+            break
+        last = settled or turn == ROUNDS or crossing <= CROWDED * left
+        if last:
+            rest = labelled.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token").mapInPandas(_cross_pairs(similarity), _PAIR)
+        else:
+            dealt = labelled.join(mixed, "token", "left_semi").withColumn("order", F.xxhash64("doc", F.lit(turn))).withColumn("salt", F.when(F.col("salt") > 0, F.pmod("order", F.lit(SALTS))).otherwise(0))
+            rest = dealt.repartition("token", "salt").sortWithinPartitions("token", "order").mapInPandas(_cross_pairs(similarity, NEIGHBOURS), _PAIR)
+        rest = rest.groupBy("anchor", "doc", "na", "n", "la", "last").agg(F.min("ra").alias("ra"), F.min("rank").alias("rank"), F.count("*").alias("common"))
+        rest = rest.where(_possible(num, den))
+        if last:
+            rest = rest.where((F.col("common") + F.ceil(after * num / den) - 1) * (num + den) >= num * (F.col("na") + F.col("n")))
+        more = written(verified_links(docs, rest, k, similarity, classes))
+        found = more.count()
+        before, settled = found, found * 10 < before or not found
+        if found:
+            step = near.select(F.col("component").alias("a"), F.col("node").alias("b"))
+            near = components(step.union(more))
+        if last:
+            break
     out = rows.join(near, rows.doc_id == near.node, "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
