@@ -176,12 +176,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     links = links.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
     edges = written(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
+    # Rounds over few links are not dealt out finer than their rows deserve.
+    parts = max(16, edges.count() // 250_000)
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")).coalesce(parts))
     for _ in range(rounds):
-        near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
+        near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("component").alias("near")).coalesce(parts)
         own = labels.join(near, labels.node == near.a).select("node", "component", F.least("component", "near").alias("low"))
         up = labels.select(F.col("node").alias("low"), F.col("component").alias("jump"))
-        new = written(own.join(up, "low", "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("next"), F.col("component").alias("was")))
+        new = written(own.join(up, "low", "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("next"), F.col("component").alias("was")).coalesce(parts))
         labels = new.select("node", F.col("next").alias("component"))
         if new.where("next <> was").isEmpty():
             return labels

@@ -9,14 +9,12 @@ of the first n - ceil(t n) + 1 shingles of both, in whatever global order.
    document's set size and set fingerprint. Equal sets are linked by fingerprint.
 2. A second pass sends (shingle, document) rows of the prefixes to one shuffle. Equal sets of a
    partition go once; shingles of frequent buckets are salted.
-3. Documents that share a prefix shingle are compared with one anchor of their group first:
-   this connects groups of near copies by links in proportion to their size.
-4. While a key's documents of different components would make many pairs, each is compared with
+3. While a key's documents of different components would make many pairs, each is compared with
    its neighbours in a shuffled order first, in a few rounds: a group of near copies of which only
    some link becomes one component in a number of comparisons in proportion to its size.
-5. What is still in different components is compared pair by pair under the bounds of size and
+4. What is still in different components is compared pair by pair under the bounds of size and
    position; pairs inside a component can change no component.
-6. Comparison puts the anchor's candidates into a trie of ordered sets (sorted sequences with
+5. Comparison puts the anchor's candidates into a trie of ordered sets (sorted sequences with
    common-prefix lengths), walks it once, reuses the overlap of shared paths, and leaves a
    subtree when what remains cannot reach the overlap needed.
 """
@@ -25,12 +23,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SHINGLE, components, distinct, mix, shingle_hashes, written
@@ -41,8 +40,6 @@ BUCKETS, CHUNK, SLOTS = 1 << 20, 1 << 16, 16
 SALTS = 16
 #: Candidates of one anchor in one trie, about.
 TRIE_SIZE = 256
-#: Anchors that a document is compared with before pairs of different components are.
-STARS = 2
 #: Pairs of different components per row of their keys above which neighbours are compared first; how many neighbours, in how many rounds at most.
 CROWDED, NEIGHBOURS, ROUNDS = 4, 8, 4
 #: Document ids are sent to all tasks up to this many (8 bytes each), else joined by shuffle.
@@ -216,41 +213,28 @@ def mix_ids(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(33)).astype(np.int64)
 
 
-def _anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of (token, salt, doc): keeps those whose token another document has, with the group's first document as anchor.
+def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of (token, salt, doc): keeps those whose token another row has, and all of salted tokens.
 
     A group may span batches; the last row of a batch waits for the next one, so memory is one batch.
     """
     tail: pd.DataFrame | None = None
-    open_key, head = None, None  # of a group of which rows went out already: its key, its anchor's (doc, n, rank)
-
-    def done(pdf: pd.DataFrame, end: int) -> pd.DataFrame:
-        nonlocal open_key, head
-        token, salt = pdf["token"].to_numpy(), pdf["salt"].to_numpy()
-        own = pdf[["doc", "n", "rank"]].to_numpy(np.int64)
-        new = np.ones(len(pdf), bool)
-        new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
-        first, group = np.flatnonzero(new), np.cumsum(new) - 1
-        heads, size = own[first], np.bincount(group)
-        if open_key == (token[0], salt[0]):
-            heads[0], size[0] = head, size[0] + 2
-        open_key, head = ((token[-1], salt[-1]), heads[-1]) if size[-1] > 1 else (None, None)
-        keep = (size[group] > 1) | (salt > 0)
-        keep[end:] = False
-        at = heads[group[keep]]
-        return pdf[keep].assign(anchor=at[:, 0], na=at[:, 1].astype(np.int32), ra=at[:, 2].astype(np.int32))
-
-    for pdf in batches:
-        if not len(pdf):
+    before: tuple | None = None  # key of the last row that went through
+    for pdf in chain(batches, [None]):
+        if pdf is not None and not len(pdf):
             continue
-        pdf = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
-        out, tail = done(pdf, len(pdf) - 1), pdf[-1:]
-        if len(out):
-            yield out
-    if tail is not None:
-        out = done(tail, 1)
-        if len(out):
-            yield out
+        rows = pdf if tail is None else tail if pdf is None else pd.concat([tail, pdf], ignore_index=True)
+        if rows is None:
+            return
+        token, salt = rows["token"].to_numpy(), rows["salt"].to_numpy()
+        like = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+        keep = (salt > 0) | np.append(before == (token[0], salt[0]), like) | np.append(like, False)
+        end = len(rows) if pdf is None else len(rows) - 1
+        tail = rows[end:]
+        if end:
+            before = (token[end - 1], salt[end - 1])
+        if keep[:end].any():
+            yield rows[:end][keep[:end]]
 
 
 _PAIR = "anchor long, doc long, na int, n int, ra int, rank int, la long, last long"
@@ -358,28 +342,18 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
 
     tokens = docs.mapInPandas(_prefixes(k, similarity, classes), _TOKEN).repartition("token", "salt").sortWithinPartitions("token", "salt", "doc")
     num, den = _cut(similarity)
-    shared = written(tokens.mapInPandas(_anchored, f"{_TOKEN}, anchor long, na int, ra int"))
-    groups = shared.where("salt > 0").groupBy("token", "salt").agg(F.min(F.struct("anchor", "na", "ra")).alias("m")).select("token", "m.*")
-    heads = groups.groupBy("token").agg(F.min(F.struct("anchor", "na", "ra")).alias("m"), F.count("*").alias("size")).where("size > 1").select("token", "m.*")
-    met = groups.select("token", F.col("anchor").alias("doc"), F.col("na").alias("n"), F.col("ra").alias("rank")).join(heads, "token")
-    columns = ["anchor", "doc", "na", "n", "ra", "rank"]
-    # Any choice of stars is right here: what they miss is compared below.
-    stars = shared.select(columns).union(met.select(columns)).where("anchor <> doc").groupBy("anchor", "doc", "na", "n").agg(F.min("ra").alias("ra"), F.min("rank").alias("rank"), F.count("*").alias("common"))
-    # A document goes to the STARS anchors that share most with it: in a large group of near copies each key has another anchor.
-    nearest = Window.partitionBy("doc").orderBy(F.desc("common"), "anchor")
-    stars = stars.where(_possible(num, den)).withColumn("nearest", F.row_number().over(nearest)).where(F.col("nearest") <= STARS)
-    links = written(verified_links(docs, stars, k, similarity, classes))
-    near = components(equal.union(links))
-
-    same = equal.select("a", F.col("b").alias("doc"))
-    # Equal sets have one row, under the document that they are linked to.
-    shared = shared.select("token", "salt", "doc", "n", "rank", "last").join(same, "doc", "left")
+    # Equal sets have one row, under the document that they are linked to; an id with several texts stays itself.
+    several = rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("b"))
+    same = equal.join(several, "b", "left_anti").select("a", F.col("b").alias("doc"))
+    shared = tokens.mapInPandas(_met, _TOKEN).join(same, "doc", "left")
     shared = written(shared.select("token", "salt", F.coalesce("a", "doc").alias("doc"), "n", "rank", "last").distinct())
+    labelled, near = shared.withColumn("comp", F.col("doc")), None
     # What both prefixes share, and what may follow the prefix that ends first.
     after = F.when(F.col("la") < F.col("last"), F.col("na")).when(F.col("la") > F.col("last"), F.col("n")).otherwise(F.least("na", "n"))
     before, settled = 0, False
     for turn in range(ROUNDS + 1):
-        labelled = written(shared.join(near, shared.doc == near.node, "left").select(*shared.columns, F.coalesce("component", "doc").alias("comp")))
+        if near:
+            labelled = written(shared.join(near, shared.doc == near.node, "left").select(*shared.columns, F.coalesce("component", "doc").alias("comp")))
         mixed = labelled.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("same"))
         mixed = written(mixed.where("rows * rows > same"))
         left, crossing = mixed.agg(F.sum("rows"), F.sum(F.expr("(rows * rows - same) / 2"))).first()
@@ -399,10 +373,11 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         found = more.count()
         before, settled = found, found * 10 < before or not found
         if found:
-            step = near.select(F.col("component").alias("a"), F.col("node").alias("b"))
-            near = components(step.union(more))
+            known = near.select(F.col("component").alias("a"), F.col("node").alias("b")) if near else equal
+            near = components(known.union(more))
         if last:
             break
+    near = near or components(equal)
     out = rows.join(near, rows.doc_id == near.node, "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
