@@ -322,6 +322,18 @@ def _possible(num: int, den: int):
     return F.least(F.col("na") - F.col("ra"), F.col("n") - F.col("rank")) * (num + den) >= num * (F.col("na") + F.col("n"))
 
 
+def _joined(near: DataFrame, links: DataFrame) -> DataFrame:
+    """near (node, component) after more links: only the components that they connect are worked on."""
+
+    def least(of: DataFrame, end: str) -> DataFrame:
+        return of.join(near, of[end] == near.node, "left").withColumn(end, F.coalesce("component", end)).drop("node", "component")
+
+    moved = components(least(least(links, "a"), "b"))
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    new = moved.join(near, "node", "left_anti")
+    return written(near.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(new))
+
+
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = 0.8) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -373,8 +385,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         found = more.count()
         before, settled = found, found * 10 < before or not found
         if found:
-            known = near.select(F.col("component").alias("a"), F.col("node").alias("b")) if near else equal
-            near = components(known.union(more))
+            near = _joined(near, more) if near else components(equal.union(more))
         if last:
             break
     near = near or components(equal)
