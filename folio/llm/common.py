@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,23 +169,73 @@ def _drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+#: Links up to this many (16 bytes each) are joined to components in one task; more are contracted over the cluster first.
+SMALL = 250_000
+
+
+def _least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node that each reaches over links a, b).
+
+    Each round every root takes the least root next to any node of its tree, and labels jump until they
+    are roots; roots that are not the least of what they see leave, so the links that cross trees die out.
+    """
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label, x, y = np.arange(len(nodes)), ends[: len(a)], ends[len(a) :]
+    while len(x):
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (jump := label[label]).tobytes() != label.tobytes():
+            label = jump
+        x, y = label[x], label[y]
+        cross = x != y
+        x, y = x[cross], y[cross]
+    return nodes, nodes[label]
+
+
+def _in_one_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    found = [*batches]
+    if found:
+        links = pd.concat(found)
+        node, component = _least_reached(links["a"].to_numpy(np.int64), links["b"].to_numpy(np.int64))
+        yield pd.DataFrame({"node": node, "component": component})
+
+
+def components(links: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b); nodes without links are not listed.
 
-    Each round takes the least label among neighbours and then the label of that label, so chains
-    shrink by halves. Rounds are cut by written tables. Nulls are no nodes; loops and repeats do no harm.
+    While there are more than `small` links, each node hooks to the least of its neighbours. Since the least
+    neighbour of v's least neighbour is v or less, the only loops are two nodes that chose each other; the
+    smaller one is the root. So each tree has two nodes or more, contraction to roots at least halves the
+    nodes that still have links, and after log2 of their number of rounds none is left, whatever the order of
+    ids. Pointers are halved until all are roots, which takes the logarithm of a tree's height. The rest is
+    joined in one task. Rounds are cut by written tables. Nulls are no nodes; loops and repeats do no harm.
     """
-    links = links.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
-    edges = written(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    # Rounds over few links are not dealt out finer than their rows deserve.
-    parts = max(16, edges.count() // 250_000)
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")).coalesce(parts))
-    for _ in range(rounds):
-        near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("component").alias("near")).coalesce(parts)
-        own = labels.join(near, labels.node == near.a).select("node", "component", F.least("component", "near").alias("low"))
-        up = labels.select(F.col("node").alias("low"), F.col("component").alias("jump"))
-        new = written(own.join(up, "low", "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("next"), F.col("component").alias("was")).coalesce(parts))
-        labels = new.select("node", F.col("next").alias("component"))
-        if new.where("next <> was").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    edges = written(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b").distinct())
+    labels = None
+    while (left := edges.count()) > small:
+        # Rounds over few links are not dealt out finer than their rows deserve.
+        parts = max(16, left // 250_000)
+        hooks = written(edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).coalesce(parts))
+        above = hooks.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        tree = written(hooks.join(above, "up").select("node", F.when((F.col("next") == F.col("node")) & (F.col("node") < F.col("up")), F.col("node")).otherwise(F.col("up")).alias("up")).coalesce(parts))
+        while True:
+            above = tree.select(F.col("node").alias("up"), F.col("up").alias("next"))
+            jumped = written(tree.join(above, "up").select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")).coalesce(parts))
+            tree = jumped.select("node", "up")
+            if jumped.where("moved").isEmpty():
+                break
+        a, b = (tree.select(F.col("node").alias(end), F.col("up").alias(f"{end}_up")) for end in "ab")
+        crossing = edges.join(a, "a").join(b, "b").where("a_up <> b_up").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b"))
+        edges = written(crossing.distinct().coalesce(parts))
+        labels = tree if labels is None else _followed(labels, tree)
+    last = edges.coalesce(1).mapInPandas(_in_one_task, "node long, component long")
+    if labels is None:
+        return written(last)
+    labels = _followed(labels, last.select("node", F.col("component").alias("up")))
+    least = labels.groupBy("up").agg(F.min("node").alias("component"))
+    return written(labels.join(least, "up").select("node", "component"))
+
+
+def _followed(labels: DataFrame, tree: DataFrame) -> DataFrame:
+    """labels (node, up) where what each goes up to has gone up in tree; roots without links stay."""
+    to = tree.select(F.col("node").alias("up"), F.col("up").alias("to"))
+    return written(labels.join(to, "up", "left").select("node", F.coalesce("to", "up").alias("up")))
