@@ -13,7 +13,10 @@ of the first n - ceil(t n) + 1 shingles of both, in whatever global order.
    its neighbours in a shuffled order first, in a few rounds: a group of near copies of which only
    some link becomes one component in a number of comparisons in proportion to its size.
 4. What is still in different components is compared pair by pair under the bounds of size and
-   position; pairs inside a component can change no component.
+   position; pairs inside a component can change no component. The smaller of two similar sets has a
+   shared shingle among its first n - least overlap + 1, so keys without such a row make no pair. A key
+   with many rows is cut into blocks of similar size, and each pair of blocks is a task's work of its
+   own that ends in links, not in pairs.
 5. Comparison puts the anchor's candidates into a trie of ordered sets (sorted sequences with
    common-prefix lengths), walks it once, reuses the overlap of shared paths, and leaves a
    subtree when what remains cannot reach the overlap needed.
@@ -21,6 +24,7 @@ of the first n - ceil(t n) + 1 shingles of both, in whatever global order.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -42,6 +46,8 @@ SALTS = 16
 TRIE_SIZE = 256
 #: Pairs of different components per row of their keys above which neighbours are compared first; how many neighbours, in how many rounds at most.
 CROWDED, NEIGHBOURS, ROUNDS = 4, 8, 4
+#: Rows of a key above which it is cut into blocks; documents and shingles of a block, about.
+CROWD, BLOCK, BLOCK_KEYS = 256, 1024, 1 << 20
 #: Document ids are sent to all tasks up to this many (8 bytes each), else joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _CLASS_SHIFT = np.uint64(56)
@@ -80,17 +86,26 @@ def trie_overlaps(anchor: np.ndarray, members: list[np.ndarray], similarity: flo
     the next sequence takes over the part it shares. A path is left as soon as its overlap plus what
     remains of the shorter side misses the overlap needed, and its subtree starts from that depth.
     """
-    order = sorted(range(len(members)), key=lambda i: members[i].astype(">u8").tobytes())
+    order = sorted(range(len(members)), key=lambda i: _bytes(members[i]))
+    needs = [least_overlap(len(anchor), len(members[i]), similarity) for i in order]
+    return [order[i] for i in _walked(anchor, [members[i] for i in order], needs)]
+
+
+def _bytes(keys: np.ndarray) -> bytes:
+    """Bytes that sort as the keys do."""
+    return keys.astype(">u8").tobytes()
+
+
+def _walked(anchor: np.ndarray, members: list[np.ndarray], needs: list[int]) -> list[int]:
+    """Places of members, given in sorted order, that share at least as many keys with anchor as each needs."""
     found: list[int] = []
     path, cum = np.empty(0, np.uint64), np.zeros(1, np.int64)
-    for i in order:
-        seq = members[i]
+    for i, (seq, need) in enumerate(zip(members, needs)):
         n, na = len(seq), len(anchor)
         shared = min(len(seq), len(cum) - 1)
         differ = np.flatnonzero(path[:shared] != seq[:shared])
         depth = int(differ[0]) if len(differ) else shared
         path, cum = seq, cum[: depth + 1]
-        need = least_overlap(na, n, similarity)
         if min(n, na) < need:
             continue
         parts, have = [cum], int(cum[-1])
@@ -237,28 +252,31 @@ def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield rows[:end][keep[:end]]
 
 
-_PAIR = "anchor long, doc long, na int, n int, ra int, rank int, la long, last long"
+_PAIR = "anchor long, doc long, na int, n int, ra int, rank int, la long, last long, apart int"
 
 
 def _cross_pairs(similarity: float, most: int | None = None):
     """Pairs of one token's documents from different components whose sizes can match. Rows come in order of token.
 
-    With `most`, only rows at most so many places apart, and memory is one batch.
+    With `most`, only rows at most so many places apart that the bound of position allows, and memory is one batch.
+    Without, every shared token counts for a pair, and memory is one group, which must be small.
     """
     num, den = _cut(similarity)
 
     def pairs(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        c = {name: pdf[name].to_numpy(np.int64) for name in ("token", "doc", "n", "rank", "last", "comp")}
+        c = {name: pdf[name].to_numpy(np.int64) for name in ("token", "doc", "n", "rank", "last", "comp", "apart")}
         i, step = np.arange(len(pdf) - 1), 1
         while (most is None or step <= most) and len(i := i[i + step < len(pdf)]) and len(i := i[c["token"][i] == c["token"][i + step]]):
             j = i + step
             small, large = np.minimum(c["n"][i], c["n"][j]), np.maximum(c["n"][i], c["n"][j])
             ok = (c["comp"][i] != c["comp"][j]) & (small * den >= large * num)
+            if most is not None:
+                ok &= np.minimum(c["n"][i] - c["rank"][i], c["n"][j] - c["rank"][j]) * (num + den) >= num * (small + large)
             x, y = i[ok], j[ok]
             if len(x):
                 low = c["doc"][x] < c["doc"][y]
                 x, y = np.where(low, x, y), np.where(low, y, x)
-                yield pd.DataFrame({"anchor": c["doc"][x], "doc": c["doc"][y], "na": c["n"][x], "n": c["n"][y], "ra": c["rank"][x], "rank": c["rank"][y], "la": c["last"][x], "last": c["last"][y]})
+                yield pd.DataFrame({"anchor": c["doc"][x], "doc": c["doc"][y], "na": c["n"][x], "n": c["n"][y], "ra": c["rank"][x], "rank": c["rank"][y], "la": c["last"][x], "last": c["last"][y], "apart": np.minimum(c["apart"][x], c["apart"][y])})
             step += 1
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,7 +323,13 @@ def verified_links(docs: DataFrame, pairs: DataFrame, k: int, similarity: float,
     many = pairs.groupBy("anchor").agg(F.ceil(F.count("*") / TRIE_SIZE).cast("int").alias("parts"))
     dealt = pairs.join(many, "anchor").select("anchor", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("part"), "doc")
     members = dealt.union(many.select("anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("anchor").alias("doc")))
-    wanted = pairs.select("doc").union(pairs.select("anchor")).distinct()
+    sets = _sets(docs, pairs.select("doc").union(pairs.select("anchor")), k, classes)
+    return members.join(sets, "doc").groupBy("anchor", "part").applyInPandas(_verified(similarity), "a long, b long")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, k: int, classes) -> DataFrame:
+    """(doc, keys): the ordered set of every text of the wanted documents."""
+    wanted = wanted.distinct()
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
 
@@ -313,8 +337,69 @@ def verified_links(docs: DataFrame, pairs: DataFrame, k: int, similarity: float,
         for pdf in batches:
             yield pd.DataFrame({"doc": pdf["doc_id"], "keys": [ordered_keys(shingle_hashes(t, k), classes.value).tobytes() for t in pdf["text"]]})
 
-    sets = docs.join(wanted, docs.doc_id == wanted.doc, "left_semi").mapInPandas(keyed, "doc long, keys binary")
-    return members.join(sets, "doc").groupBy("anchor", "part").applyInPandas(_verified(similarity), "a long, b long")
+    return docs.join(wanted, docs.doc_id == wanted.doc, "left_semi").mapInPandas(keyed, "doc long, keys binary")
+
+
+def _block_links(similarity: float):
+    """Links among the documents of one token in a pair of blocks, no more than connect their components.
+
+    Sets are cut before the token. A pair whose first common key it is loses nothing; any other pair is
+    compared under its own first common key, and is left out here where the keys before the token are equal.
+    """
+    num, den = _cut(similarity)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        token = np.array([pdf["token"].iloc[0]], np.int64).view(np.uint64)[0]
+        items = []
+        for doc, comp, right, data in zip(pdf["doc"], pdf["comp"], pdf["right"], pdf["keys"]):
+            keys = np.frombuffer(data, np.uint64)
+            at = int(np.searchsorted(keys, token))
+            if at < len(keys) and keys[at] == token:
+                items.append((_bytes(keys[at:]), doc, comp, right, len(keys), keys[at:], keys[at - 1] if at else token))
+        items.sort(key=lambda x: x[0])
+        doc, comp, n, rest = (np.array([x[i] for x in items], np.int64) for i in (1, 2, 4, 4))
+        rest[:] = [len(x[5]) for x in items]
+        before, right = np.array([x[6] for x in items], np.uint64), np.array([x[3] for x in items], bool)
+        within, a, b = not right.any() and bool(pdf["within"].iloc[0]), [], []
+        for x in range(len(items)) if within else np.flatnonzero(~right):
+            y = np.arange(x + 1, len(items)) if within else np.flatnonzero(right)
+            y = y[(comp[y] != comp[x]) & (np.minimum(n[y], n[x]) * den >= np.maximum(n[y], n[x]) * num)]
+            y = y[np.minimum(rest[y], rest[x]) * (num + den) >= num * (n[y] + n[x])]
+            y = y[(before[y] != before[x]) | (before[y] == token)]
+            for i in _walked(items[x][5], [items[i][5] for i in y], [least_overlap(int(n[x]), int(n[i]), similarity) for i in y]):
+                if comp[y[i]] != comp[x]:
+                    a.append(doc[x])
+                    b.append(doc[y[i]])
+                    comp[comp == comp[y[i]]] = comp[x]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return run
+
+
+def crowded_links(docs: DataFrame, rows: DataFrame, k: int, similarity: float, classes, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of similar documents from different components among rows (token, doc, n, comp).
+
+    Sizes fall into classes such that similar sets are in one or in neighbours. A token's documents of a class
+    are dealt to blocks, and every two blocks that can match are one group, whatever token they are of.
+    """
+    num, den = _cut(similarity)
+    step = max(math.log(den / num) * 1.0001, 0.001)  # wider than the ratio of sizes, so rounding loses no neighbour
+    sized = rows.select("token", "doc", "comp", F.floor(F.log("n") / step).cast("int").alias("size")).distinct()
+    most = F.greatest(F.lit(16), F.least(F.lit(block), F.floor(BLOCK_KEYS / F.exp((F.col("size") + 1) * step))))
+    grid = written(sized.groupBy("token", "size").agg(F.count("*").alias("c")).select("token", "size", F.ceil(F.col("c") / most).cast("int").alias("own")))
+    up, down = (grid.select("token", (F.col("size") + d).alias("size"), F.col("own").alias(name)) for d, name in ((-1, "up"), (1, "down")))
+    grid = grid.join(up, ["token", "size"], "left").join(down, ["token", "size"], "left").fillna(0)
+    if grid.count() <= BROADCAST_IDS:
+        grid = F.broadcast(grid)
+    dealt = sized.join(grid, ["token", "size"]).withColumn("h", F.expr("cast(pmod(xxhash64(doc), own) as int)"))
+    places = F.expr("""concat(
+        transform(sequence(0, own - 1), x -> named_struct('lo', size, 'hi', size, 'i', least(h, x), 'j', greatest(h, x), 'right', x < h)),
+        transform(slice(sequence(0, up), 1, up), x -> named_struct('lo', size, 'hi', size + 1, 'i', h, 'j', x, 'right', false)),
+        transform(slice(sequence(0, down), 1, down), x -> named_struct('lo', size - 1, 'hi', size, 'i', x, 'j', h, 'right', true)))""")
+    placed = dealt.select("token", "doc", "comp", F.explode(places).alias("at")).select("token", "doc", "comp", "at.*")
+    placed = placed.withColumn("within", F.expr("lo = hi and i = j"))
+    sets = _sets(docs, sized.select("doc"), k, classes)
+    return placed.join(sets, "doc").groupBy("token", "lo", "hi", "i", "j").applyInPandas(_block_links(similarity), "a long, b long")
 
 
 def _possible(num: int, den: int):
@@ -366,22 +451,31 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     for turn in range(ROUNDS + 1):
         if near:
             labelled = written(shared.join(near, shared.doc == near.node, "left").select(*shared.columns, F.coalesce("component", "doc").alias("comp")))
-        mixed = labelled.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        # Whether a row's document can be the smaller one of a similar pair with this first shared shingle.
+        first = (F.col("n") - F.col("rank")) * (num + den) >= 2 * num * F.col("n")
+        mixed = labelled.groupBy("token", "comp").agg(F.count("*").alias("c"), F.max(first).alias("first")).groupBy("token").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max("first").alias("first"))
         mixed = written(mixed.where("rows * rows > same"))
-        left, crossing = mixed.agg(F.sum("rows"), F.sum(F.expr("(rows * rows - same) / 2"))).first()
+        left, crossing = mixed.where("first").agg(F.sum("rows"), F.sum(F.expr("(rows * rows - same) / 2"))).first()
         if not left:
             break
         last = settled or turn == ROUNDS or crossing <= CROWDED * left
         if last:
-            rest = labelled.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token").mapInPandas(_cross_pairs(similarity), _PAIR)
+            kind = F.when(~F.col("first"), "none").when(F.col("rows") > CROWD, "blocks").otherwise("pairs")
+            rest = written(labelled.join(mixed.select("token", kind.alias("kind")), "token"))
+            blocks = crowded_links(docs, rest.where("kind = 'blocks'"), k, similarity, classes)
+            # Shingles that a document may share outside the keys that make pairs.
+            apart = rest.where("kind <> 'pairs'").groupBy("doc").agg(F.count("*").cast("int").alias("apart"))
+            rest = rest.where("kind = 'pairs'").join(apart, "doc", "left").fillna(0, ["apart"])
+            rest = rest.repartition("token").sortWithinPartitions("token").mapInPandas(_cross_pairs(similarity), _PAIR)
         else:
-            dealt = labelled.join(mixed, "token", "left_semi").withColumn("order", F.xxhash64("doc", F.lit(turn))).withColumn("salt", F.when(F.col("salt") > 0, F.pmod("order", F.lit(SALTS))).otherwise(0))
+            dealt = labelled.join(mixed.where("first"), "token", "left_semi").withColumn("apart", F.lit(0)).withColumn("order", F.xxhash64("doc", F.lit(turn))).withColumn("salt", F.when(F.col("salt") > 0, F.pmod("order", F.lit(SALTS))).otherwise(0))
             rest = dealt.repartition("token", "salt").sortWithinPartitions("token", "order").mapInPandas(_cross_pairs(similarity, NEIGHBOURS), _PAIR)
-        rest = rest.groupBy("anchor", "doc", "na", "n", "la", "last").agg(F.min("ra").alias("ra"), F.min("rank").alias("rank"), F.count("*").alias("common"))
+        rest = rest.groupBy("anchor", "doc", "na", "n", "la", "last").agg(F.min("ra").alias("ra"), F.min("rank").alias("rank"), F.count("*").alias("common"), F.max("apart").alias("apart"))
         rest = rest.where(_possible(num, den))
         if last:
-            rest = rest.where((F.col("common") + F.ceil(after * num / den) - 1) * (num + den) >= num * (F.col("na") + F.col("n")))
-        more = written(verified_links(docs, rest, k, similarity, classes))
+            rest = rest.where((F.col("common") + F.col("apart") + F.ceil(after * num / den) - 1) * (num + den) >= num * (F.col("na") + F.col("n")))
+        more = verified_links(docs, rest, k, similarity, classes)
+        more = written(more.union(blocks) if last else more)
         found = more.count()
         before, settled = found, found * 10 < before or not found
         if found:
