@@ -1,6 +1,7 @@
 """Toxicity by compression distance: windows are shorter under the zstandard dictionary of the text they resemble.
 
-Two dictionaries are trained from labelled documents, one of ordinary and one of toxic text. Both hold the
+Two dictionaries are put together from words of labelled documents, one of ordinary and one of toxic text; they
+stand in for dictionaries that zstandard trains on text, which told the classes apart badly (README). Both hold the
 words that are frequent in any text; each also holds the words that are typical of its own class. zstandard
 pays about three bytes for a match, as much as for a short word, so words are compressed as codes: the first
 letters, fixed bytes drawn from them, the rest, and fixed bytes drawn from the whole word. A known word is then
