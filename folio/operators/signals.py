@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The longer comes before its own start.
-MODALS = ["shall not", "may not", "shall", "must", "may"]
-_MODAL = r"\b(" + "|".join(MODALS) + r")\b"
-_DURATION = r"\bwithin (\d+) (hours?|days?|months?|years?)\b"
+MODALS = ["shall not", "shall", "may not", "may", "should"]
+QUALIFIERS = ["within", "no later than", "after", "exceeding", "at least(?: until)?", "for at least"]
+NUMBERS = [r"\d+", "one", "two", "three", "six"]
+#: (?U): letters, digits and white space of all scripts.
+_DURATION = rf"(?U)\b(?:{'|'.join(QUALIFIERS)})\s+(?:{'|'.join(NUMBERS)})\s+(?:hours?|days?|months?|years?)\b"
+
+
+def _one_line(text: str) -> Column:
+    """The text with every run of white space, no-break spaces too, as one space."""
+    return F.trim(F.regexp_replace(F.col(text), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-def modal_counts(sentences: DataFrame, text: str = "text") -> DataFrame:
-    """(modal, n) over all texts; null texts have none."""
-    found = sentences.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(_MODAL), F.lit(1))).alias("modal"))
+def modal_counts(sentences: DataFrame, text: str = "text", modals: Sequence[str] = MODALS) -> DataFrame:
+    """(modal, n) over all texts; null texts have none. Of modals with the same start the longer counts."""
+    pattern = r"(?U)\b(" + "|".join(sorted(modals, key=len, reverse=True)) + r")\b"
+    found = sentences.select(F.explode(F.regexp_extract_all(_one_line(text), F.lit(pattern), F.lit(1))).alias("modal"))
     return found.groupBy("modal").agg(F.count("*").alias("n"))
 
 
 def duration_counts(sentences: DataFrame, text: str = "text") -> DataFrame:
-    """(match, n) of time limits such as `within 3 days`."""
-    found = sentences.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(_DURATION), F.lit(0))).alias("match"))
+    """(match, n) of time limits such as `within 3 days` or `no later than two months`."""
+    found = sentences.select(F.explode(F.regexp_extract_all(_one_line(text), F.lit(_DURATION), F.lit(0))).alias("match"))
     return found.groupBy("match").agg(F.count("*").alias("n"))
