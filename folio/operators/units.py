@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,5 +19,73 @@ def subtree_sizes(paragraphs: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def unit_plan(sizes: DataFrame, max_chars: int = 1500) -> DataFrame:
-    """(article_id, n_chars, whole): an article is one unit where its subtree has at most max_chars, else it is split further."""
+    """(article_id, n_chars, whole): an article is one unit where its subtree has at most max_chars, else unit_pack splits it."""
     return sizes.select("article_id", "n_chars", (F.col("n_chars") <= max_chars).alias("whole"))
+
+
+#: Articles of the bootstrap phase where an act has no profile of its own.
+BOOTSTRAP = ("1", "2", "3")
+_PARTS = "article_id long, unit_id string, part int, phase string, ordinal int, node_id string, n_chars long"
+
+
+def partition_subtree(root: str, children: dict[str, list[str]], chars: dict[str, int], max_chars: int) -> list[list[str]]:
+    """Node ids of the parts of root's subtree, each in pre-order.
+
+    A subtree of at most max_chars is one part, as is a node without children. Otherwise the parts of the children
+    are put together in order while they fit; root stands at the head of each part and its text counts in each.
+    """
+
+    def below(node: str) -> tuple[list[str], int]:
+        ids, size, pending = [], 0, [node]
+        while pending:
+            at = pending.pop()
+            ids.append(at)
+            size += chars[at]
+            pending += reversed(children.get(at, ()))
+        return ids, size
+
+    ids, size = below(root)
+    if size <= max_chars or not children.get(root):
+        return [ids]
+    parts: list[list[str]] = []
+    current, total = [], chars[root]
+    for child in children[root]:
+        for piece in partition_subtree(child, children, chars, max_chars):
+            size = sum(chars[i] for i in piece)
+            if current and total + size > max_chars:
+                parts.append([root, *current])
+                current, total = [], chars[root]
+            current += piece
+            total += size
+    return [*parts, [root, *current]]
+
+
+def unit_pack(nodes: DataFrame, max_chars: int = 1500, bootstrap: Sequence[str] = BOOTSTRAP) -> DataFrame:
+    """(article_id, unit_id, part, phase, ordinal, node_id, n_chars): one row for each node of each unit, ordinal from 0 within it.
+
+    nodes: article_id, local_id, heading, node_id, parent_id (null for the article itself), seq (order among
+    siblings), n_chars. A whole article is one unit with the article's node id and no part; a split one has parts from 1, named
+    by their number and a hash of their nodes. Nodes whose parent is missing belong to no unit.
+    """
+    if max_chars < 1:
+        raise ValueError("max_chars must be positive")
+    first = set(bootstrap)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["seq", "node_id"])
+        chars, children = dict(zip(pdf["node_id"], pdf["n_chars"])), {}
+        for node, parent in zip(pdf["node_id"], pdf["parent_id"]):
+            if not pd.isna(parent):
+                children.setdefault(parent, []).append(node)
+        out: list[tuple] = []
+        for root in pdf[pdf["parent_id"].isna()].itertuples():
+            early = root.local_id in first or "definition" in (root.heading or "").casefold()
+            parts = partition_subtree(root.node_id, children, chars, max_chars)
+            for number, ids in enumerate(parts, 1):
+                member = hashlib.sha256("\0".join(ids).encode()).hexdigest()[:8]
+                unit, part = (root.node_id, None) if len(parts) == 1 else (f"{root.node_id}#part-{number:02d}-{member}", number)
+                out += [(root.article_id, unit, part, "bootstrap" if early else "main", i, node, chars[node]) for i, node in enumerate(ids)]
+        found = pd.DataFrame(out, columns=[c.split()[0] for c in _PARTS.split(", ")])
+        return found.astype({"part": "Int32"})
+
+    return nodes.groupBy("article_id").applyInPandas(run, _PARTS)

@@ -16,6 +16,11 @@ def unit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.unit_plan(units.subtree_sizes(tables.paragraphs(spark, sf_dir), tables.points(spark, sf_dir)))
 
 
+def unit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of all units of unit_plan's articles. It has no SQL: tests hold it against the reference's rules."""
+    return units.unit_pack(tables.act_nodes(spark, sf_dir))
+
+
 def subtree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.subtree_sizes(tables.paragraphs(spark, sf_dir), tables.points(spark, sf_dir))
 
@@ -55,6 +60,9 @@ def kleene_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (unit_plan, subtree_sizes, duplicate_ids, numbering_gaps, modal_counts, durations, source_hash, page_titles, kleene_eval)}
 
+#: Queries whose recursion has no equal in SQL.
+WITHOUT_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {"unit_pack": unit_pack}
+
 _POINTS = """points AS (
     SELECT l_orderkey AS paragraph_id, CAST(l_linenumber AS INTEGER) AS number, 'The supplier ' || CASE l_returnflag WHEN 'A' THEN 'shall' WHEN 'N' THEN 'may' ELSE 'must' END
         || ' deliver ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ' units within ' || CAST(l_linenumber AS VARCHAR) || ' days' AS text
