@@ -3,8 +3,9 @@
 1. Every page's containers are scored by the text of their paragraphs; each page votes for the generalised paths
    (tag and class, digits taken out) of its best containers.
 2. Spark adds up the votes of each host; partial sums meet, so a host with a third of all pages is no hot group.
-3. Every page is read again: its text is that of the elements on the best of its host's paths that it has, or else
-   of its own best container. Menus, adverts, comments and the like inside it are left out.
+3. Every page is read again: its text is that of the elements on the best of its host's paths that gives a fair share
+   of what its own best container has, or else of that container. Menus, adverts, comments and the like inside it are
+   left out, but never what holds most of the page's text.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import written
 #: Containers a page votes for, paths kept of a host, and hosts up to which the paths are sent to all tasks.
 VOTES, PATHS, BROADCAST_HOSTS = 3, 8, 50_000
 SALTS = 32
+#: Share of a page's text beside links above which an element is no clutter, whatever its name, and share of the text of the page's own best container that a path of the host must give.
+MOST, FAIR = 2 / 3, 0.3
 
 # Names of HTML and usual words of class names.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,6 +36,11 @@ _KEPT = {"html", "body", "article", "main"}
 _CLUTTER = set(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies dialog disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Words that beside a clutter word leave a class or id clutter; any other word does not, as in `with-sidebar` or `related-work`.
+_PLAIN = set("area bar block body bottom box btn button buttons col column container content center form group head holder icon icons inner inline item items large left link links list main mobile outer page panel posts primary region right row secondary section site slot small sticky tags text title top unit wrap wrapper".split())
+_HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: What may stand in head; anything else ends it.
+_IN_HEAD = set("html head base link meta title script style noscript template".split())
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: What the start of each of these ends, as far as it is open.
 _IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -51,20 +59,35 @@ class Page:
         #: (node, text); text is a space where a block or a line ends.
         self.texts: list[tuple[int, str]] = []
         self._read(source)
+        self._settle()
+
+    def _settle(self) -> None:
+        """clutter holds what each node is by itself; here it goes down the tree, but not from nodes with most of the text."""
+        size = [0] * len(self.parent)
+        for node, text in self.texts:
+            if not self.link[node]:
+                size[node] += len(text.strip())
+        for node in range(len(size) - 1, 0, -1):
+            size[self.parent[node]] += size[node]
+        for node in range(1, len(size)):
+            self.clutter[node] = self.clutter[self.parent[node]] or self.clutter[node] and size[node] <= MOST * size[0]
+        self.texts = [(n, t) for n, t in self.texts if t == " " or not self.clutter[n]]
 
     def _read(self, source: str) -> None:
         open_nodes, at, end = [0], 0, len(source)
         while at < end:
             m = _TAG.search(source, at)
             if m is None:
-                self._text(open_nodes[-1], source[at:])
+                self._text(open_nodes, source[at:])
                 break
             if m.start() > at:
-                self._text(open_nodes[-1], source[at : m.start()])
+                self._text(open_nodes, source[at : m.start()])
             at = m.end()
             if not m[2]:
                 continue
             name = m[2].lower()
+            if not m[1] and name not in _IN_HEAD:
+                self._end_head(open_nodes)
             if name in _BLOCKS or name == "br":
                 self.texts.append((open_nodes[-1], " "))
             if m[1]:
@@ -81,9 +104,14 @@ class Page:
                 continue
             open_nodes.append(self._node(open_nodes[-1], name, m[3]))
 
-    def _text(self, node: int, raw: str) -> None:
-        if not self.clutter[node]:
-            self.texts.append((node, entities.unescape(raw) if "&" in raw else raw))
+    def _end_head(self, open_nodes: list[int]) -> None:
+        if self.tag[open_nodes[-1]] == "head":  # what may stand in it opens no node
+            del open_nodes[-1]
+
+    def _text(self, open_nodes: list[int], raw: str) -> None:
+        if not raw.isspace():
+            self._end_head(open_nodes)
+        self.texts.append((open_nodes[-1], entities.unescape(raw) if "&" in raw else raw))
 
     def _close(self, open_nodes: list[int], name: str) -> None:
         for i in range(len(open_nodes) - 1, 0, -1):
@@ -107,17 +135,19 @@ class Page:
     def _node(self, parent: int, name: str, attributes: str) -> int:
         found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
         classes = found.get("class", "")
-        parts = {p.lower() for p in _PART.findall(f"{classes} {found.get('id', '')}")}
-        inside = self.clutter[parent]
-        if name not in _KEPT and not inside:
-            inside = name in _DROPPED or bool(parts & _CLUTTER and not ("header" in parts and parts & {"article", "post", "entry"})) or found.get("role", "").lower() in _ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-            inside = inside or name == "header" and not self._within(parent, {"article"})
+        tokens = [{p.lower() for p in _PART.findall(t)} for t in f"{classes} {found.get('id', '')}".split()]
+        own = False
+        if name not in _KEPT:
+            named = name not in _HEADINGS and any(t & _CLUTTER and t <= _CLUTTER | _PLAIN for t in tokens)
+            named = named and not (any("header" in t for t in tokens) and any(t & {"article", "post", "entry"} for t in tokens))
+            own = name in _DROPPED or named or found.get("role", "").lower() in _ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+            own = own or name == "header" and not self._within(parent, {"article"})
         first = re.sub(r"\d+", "", classes.split()[0].lower()) if classes.split() else ""
         node = len(self.parent)
         self.parent.append(parent)
         self.tag.append(name)
         self.path.append(f"{self.path[parent]}/{name}.{first}" if first else f"{self.path[parent]}/{name}")
-        self.clutter.append(inside)
+        self.clutter.append(own)
         self.link.append(self.link[parent] or name == "a")
         self.block.append(node if name in _BLOCKS else self.block[parent])
         return node
@@ -154,16 +184,17 @@ class Page:
             by_path[self.path[node]] = by_path.get(self.path[node], 0) + s
         return sorted(((p, s) for p, s in by_path.items() if s > 0), key=lambda x: (-x[1], x[0]))
 
+    def on(self, path: str) -> str:
+        """Text of all elements on the path; what is clutter inside them is left out."""
+        inside = [False] * len(self.parent)
+        for node in range(len(self.parent)):
+            inside[node] = self.path[node] == path or (node > 0 and inside[self.parent[node]])
+        return " ".join("".join(t if inside[n] else " " for n, t in self.texts).split())
+
     def text(self, paths: list[str]) -> str:
-        """Text of all elements on the first of the paths that gives any; what is clutter inside them is left out."""
-        for path in paths:
-            inside = [False] * len(self.parent)
-            for node in range(len(self.parent)):
-                inside[node] = self.path[node] == path or (node > 0 and inside[self.parent[node]])
-            found = " ".join("".join(t if inside[n] else " " for n, t in self.texts if not self.clutter[n] or t == " ").split())
-            if found:
-                return found
-        return ""
+        """Text on the first of the paths that gives a fair share of what the page's own best container has, or else of that container."""
+        own = next((self.on(path) for path, _ in self.containers()[:1]), "")
+        return next((found for found in map(self.on, paths) if found and len(found) >= FAIR * len(own)), own)
 
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +223,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for source, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist()):
-            page = Page(source or "")
-            texts.append(page.text(paths or []) or page.text([p for p, _ in page.containers()[:1]]))
+            texts.append(Page(source or "").text(paths or []))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
