@@ -73,6 +73,22 @@ class Space:
         square = (x * x).sum(1)[:, None] + (self.pivots * self.pivots).sum(1) - 2 * x @ self.pivots.T
         return np.sqrt(np.maximum(0, square + (lift[:, None] - self.pivot_lift) ** 2))
 
+    def upper(self, q: np.ndarray, dq: np.ndarray, dx: np.ndarray) -> np.ndarray:
+        """For each candidate a score that its product with q cannot exceed.
+
+        While all sums of products are whole numbers that doubles hold, only the added component is rounded, so a
+        squared distance is wrong by `off` at most, a distance by 2 off / d or 2 sqrt(off), and the triangle
+        inequality holds after these are taken off. Beyond that no distance is trusted and every pair is evaluated.
+        """
+        most = float(q @ q) + self.norm
+        if not self.exact:
+            return np.full(len(dx), np.inf)
+        off = 64 * np.finfo(np.float64).eps * (most + self.norm)
+        least = np.sqrt(off) + np.finfo(np.float64).tiny
+        bound = np.maximum(0, np.abs(dx - dq) - 2 * off / np.maximum(dx, least) - 2 * off / np.maximum(dq, least)).max(axis=1)
+        upper = (most - bound * bound) / 2
+        return upper + 1e-6 * (1 + np.abs(upper)) + off
+
     def first_scores(self, ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
         """The k-th best score of each query within the pilot set, its own row left out: a lower bound of the final one."""
         if len(self.pilot_ids) <= k:
@@ -84,9 +100,7 @@ class Space:
 
 def best_of_block(space: Space, k: int, qid: int, q: np.ndarray, dq: np.ndarray, known: float, ids: np.ndarray, x: np.ndarray, dx: np.ndarray) -> list[tuple[int, int]]:
     """(vec_id, score) of at most k candidates of a block that can be among the k best of query q, given that k scores of `known` or more exist."""
-    bound = np.abs(dx - dq).max(axis=1)
-    upper = (float(q @ q) + space.norm - bound * bound) / 2
-    upper += 1e-6 * (1 + np.abs(upper))  # rounding of the distances
+    upper = space.upper(q, dq, dx)
     order = np.argsort(-upper, kind="stable")
     best: list[tuple[int, int]] = []
     for lo in range(0, len(order), STEP):
