@@ -110,7 +110,8 @@ class Memo:
             self.data = np.resize(self.data, max(self.used + total, 2 * len(self.data)))
         self.start[n:end], self.length[n:end] = self.used + np.cumsum(lengths) - lengths, lengths
         if total:
-            self.data[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), self.dtype, total)
+            arrays = all(isinstance(x, np.ndarray) for x in found)
+            self.data[self.used : self.used + total] = np.concatenate(found) if arrays else np.fromiter(chain.from_iterable(found), self.dtype, total)
         self.used += total
         self.index.update(zip(new, range(n, end)))
 
@@ -157,8 +158,26 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/folio-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _TABLES[id(out)] = (out, path)
+    return out
+
+
+#: Tables of this session by the identity of their frames, which are held so that no identity is used twice.
+_TABLES: dict[int, tuple[DataFrame, str]] = {}
+
+
+def released(*tables: DataFrame | None) -> None:
+    """Drop tables that `written` made and nothing reads any more; other frames are left alone."""
+    for df in tables:
+        found = _TABLES.pop(id(df), None)
+        if found:
+            _drop(df.sparkSession, found[1])
+
+
+@atexit.register
+def _release_all() -> None:
+    released(*[df for df, _ in _TABLES.values()])
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -169,6 +188,27 @@ def _drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Rows of one key are dealt to this many groups where the other side is too large to be sent to all tasks.
+SPREAD = 16
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, most: int, how: str = "inner") -> DataFrame:
+    """rows joined with keyed, which has a key once at most. A key may hold any share of rows: keyed goes to all tasks while it has at most `most` rows, else to SPREAD groups of each key."""
+    if keyed.count() <= most:
+        return rows.join(F.broadcast(keyed), key, how)
+    salt = fresh(rows, "salt")
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)).cast("int"))
+    return dealt.join(keyed.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), [key, salt], how).drop(salt)
+
+
 #: Links up to this many (16 bytes each) are joined to components in one task; more are contracted over the cluster first.
 SMALL = 250_000
 
@@ -216,20 +256,28 @@ def components(links: DataFrame, small: int = SMALL) -> DataFrame:
         parts = max(16, left // 250_000)
         hooks = written(edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).coalesce(parts))
         above = hooks.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        tree = written(hooks.join(above, "up").select("node", F.when((F.col("next") == F.col("node")) & (F.col("node") < F.col("up")), F.col("node")).otherwise(F.col("up")).alias("up")).coalesce(parts))
+        tree = written(hooks.join(above, "up").select("node", F.when((F.col("next") == F.col("node")) & (F.col("node") < F.col("up")), F.col("node")).otherwise(F.col("up")).alias("up"), F.lit(True).alias("moved")).coalesce(parts))
+        released(hooks)
         while True:
             above = tree.select(F.col("node").alias("up"), F.col("up").alias("next"))
-            jumped = written(tree.join(above, "up").select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")).coalesce(parts))
-            tree = jumped.select("node", "up")
+            jumped = written(tree.drop("moved").join(above, "up").select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")).coalesce(parts))
+            released(tree)
+            tree = jumped
             if jumped.where("moved").isEmpty():
                 break
         a, b = (tree.select(F.col("node").alias(end), F.col("up").alias(f"{end}_up")) for end in "ab")
         crossing = edges.join(a, "a").join(b, "b").where("a_up <> b_up").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b"))
-        edges = written(crossing.distinct().coalesce(parts))
-        labels = tree if labels is None else _followed(labels, tree)
-    last = edges.coalesce(1).mapInPandas(_in_one_task, "node long, component long")
+        before, edges = edges, written(crossing.distinct().coalesce(parts))
+        if labels is None:
+            labels = tree.drop("moved")
+        else:
+            earlier, labels = labels, _followed(labels, tree)
+            released(earlier, tree)
+        released(before)
+    last = written(edges.coalesce(1).mapInPandas(_in_one_task, "node long, component long"))
+    released(edges)
     if labels is None:
-        return written(last)
+        return last
     labels = _followed(labels, last.select("node", F.col("component").alias("up")))
     least = labels.groupBy("up").agg(F.min("node").alias("component"))
     return written(labels.join(least, "up").select("node", "component"))

@@ -48,12 +48,11 @@ def test_forms_on_one_template(spark, monkeypatch, crowd):
 def test_blocks_give_all_links_but_no_pairs(spark):
     """Every group is two blocks at most: before, the rows of one key met in one task and left it as pairs."""
     texts = forms(60)
-    docs = spark.createDataFrame([*enumerate(texts)], DOCS)
-    classes = spark.sparkContext.broadcast(np.zeros(jaccard_join.BUCKETS, np.uint8))
-    keys = [jaccard_join.ordered_keys(shingle_hashes(t), classes.value) for t in texts]
+    keys = [jaccard_join.ordered_keys(shingle_hashes(t), np.zeros(len(shingle_hashes(t)))) for t in texts]
+    sets = spark.createDataFrame([(i, len(own), bytearray(own.tobytes())) for i, own in enumerate(keys)], "doc long, n int, keys binary")
     tokens = [(int(k.view(np.int64)), i, len(own), i) for i, own in enumerate(keys) for k in own[: jaccard_join.prefix_length(len(own), 0.8)]]
     rows = spark.createDataFrame(tokens, "token long, doc long, n int, comp long")
-    links = [tuple(r) for r in jaccard_join.crowded_links(docs, rows, 5, 0.8, classes, block=16).collect()]
+    links = [tuple(r) for r in jaccard_join.crowded_links(sets, rows, 0.8, block=16).collect()]
     label = list(range(len(texts)))
     for _ in texts:
         for a, b in links:
