@@ -1,13 +1,14 @@
 """Exact deduplication by Grace hashing: partition, spill, and compare whole contents in open-addressing tables.
 
 1. Build side. Each task folds the equal texts of a chunk of its input into one record, so a group of
-   copies sends at most one record from each chunk, however large it is.
+   copies sends at most one record from each chunk, however large it is. A chunk ends when its distinct texts
+   reach FOLD_BYTES, so copies make it longer.
 2. Records are shuffled by a hash of their content. A partition that does not fit the table's memory is
    split by further bits of the hash into spill files in the task's own temporary folder, again and again,
    until each bucket fits. The files go when the task ends; a lost task starts anew from the shuffle.
 3. A bucket's open-addressing table compares complete contents, so hash collisions never merge texts.
-4. The class of each record goes back to the rows of its chunk by a join on (chunk, slot); a key has at most
-   CHUNK_ROWS rows.
+4. The class of each record goes back to the rows of its chunk by a join on (chunk, slot); a key has the rows of
+   one task at most.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, slices, written
+from .common import SPACES, fresh, slices, written
 
-#: Rows folded at once before the shuffle; also the most rows of one join key.
-CHUNK_ROWS = 4096
+#: Rows read at once; bytes of distinct texts that a task folds before it sends them on.
+CHUNK_ROWS, FOLD_BYTES = 4096, 32 << 20
 #: Bytes of content that one open-addressing table holds.
 TABLE_BYTES = 32 << 20
 FAN_OUT = 16
+#: Ids that go are sent to all tasks up to this many (8 bytes each), else joined by shuffle.
+BROADCAST_IDS = 1_000_000
 MAX_DEPTH = 12
 _SPACES = re.compile(SPACES)
 
@@ -81,26 +84,41 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     task, number = TaskContext.get().partitionId(), 0
+    seen: dict[bytes, int] = {}
+    sha: list[bytes] = []
+    least: list[int | None] = []
+    copies: list[int] = []
+    size = 0
+
+    def records() -> Iterator[pa.RecordBatch]:
+        contents = list(seen)
+        for a, b in slices([len(t) for t in contents], 4 << 20):
+            h = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in contents[a:b]]
+            yield _rows(b - a, chunk=[f"{task}-{number}"] * (b - a), slot=range(a, b), h=h, content=contents[a:b], least=least[a:b], copies=copies[a:b])
+
     for batch in batches:
         for lo in range(0, batch.num_rows, CHUNK_ROWS):
             part = batch.slice(lo, CHUNK_ROWS)
-            texts = [normalised(t) for t in part.column("text").to_pylist()]
-            ids = part.column("doc_id").to_pylist()
-            seen: dict[bytes, int] = {}
-            slots = [seen.setdefault(t, len(seen)) for t in texts]
-            sha = [hashlib.sha256(t).digest() for t in seen]
-            least, copies = [None] * len(seen), [0] * len(seen)
-            for i, s in zip(ids, slots):
+            ids, slots = part.column("doc_id").to_pylist(), []
+            for i, text in zip(ids, part.column("text").to_pylist()):
+                t = normalised(text)
+                s = seen.setdefault(t, len(sha))
+                if s == len(sha):
+                    size += len(t) + 200
+                    sha.append(hashlib.sha256(t).digest())
+                    least.append(None)
+                    copies.append(0)
+                slots.append(s)
                 copies[s] += 1
                 if i is not None and (least[s] is None or i < least[s]):
                     least[s] = i
-            n, chunk = len(ids), f"{task}-{number}"
-            number += 1
-            yield _rows(n, doc_id=ids, chunk=[chunk] * n, slot=slots, sha=[sha[s] for s in slots])
-            for a, b in slices([len(t) for t in seen], 4 << 20):
-                some = list(seen)[a:b]
-                h = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in some]
-                yield _rows(b - a, chunk=[chunk] * (b - a), slot=range(a, b), h=h, content=some, least=least[a:b], copies=copies[a:b])
+            yield _rows(len(ids), doc_id=ids, chunk=[f"{task}-{number}"] * len(ids), slot=slots, sha=[sha[s] for s in slots])
+            if size >= FOLD_BYTES:
+                yield from records()
+                number, size = number + 1, 0
+                for held in (seen, sha, least, copies):
+                    held.clear()
+    yield from records()
 
 
 def _rows(n: int, **columns) -> pa.RecordBatch:
@@ -131,7 +149,7 @@ def _bucket(stream: Iterator[tuple], depth: int, folder: str, most: int = TABLE_
     for chunk, slot, h, content, least, copies in stream:
         known = len(table.contents)
         refs.append((chunk, slot, i := table.find(h, content), least, copies))
-        total += (len(content) + 200) * (i == known)
+        total += 120 + (len(content) + 200) * (i == known)
         if total > most and len(table.contents) > 1 and depth < MAX_DEPTH:
             break
     else:
@@ -193,10 +211,18 @@ def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of documents, with all their columns, of which exact_dedup keeps one for each text.
 
-    Of rows that repeat the id that stays, with one text, one stays.
+    Of rows that repeat the id that stays, with one text, one stays. Names of columns may be any. Where no id repeats
+    or is null, rows that go are known by their ids and no text is moved while those are few.
     """
-    classes = exact_dedup(documents, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    classes = written(exact_dedup(documents, id_col, text_col))
+    own = F.col(id_col).cast("long")
+    if classes.groupBy("doc_id").agg(F.count("*").alias("c")).where("doc_id is null or c > 1").isEmpty():
+        gone = fresh(documents, "gone")
+        ids = classes.where("not kept").select(F.col("doc_id").alias(gone))
+        return documents.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, own == F.col(gone), "left_anti")
+    i, sha, id_, sha_ = (fresh(documents, name) for name in ("kept_id", "kept_sha", "own_id", "own_sha"))
+    stay = classes.where("kept").select(F.col("doc_id").alias(i), F.col("text_sha256").alias(sha)).distinct()
     spaced = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACES, " ")
-    marked = documents.withColumns({"_own_id": F.col(id_col).cast("long"), "_own_sha": F.sha2(spaced.cast("binary"), 256)})
-    stay = marked.join(classes, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_sha") == F.col("_sha")), "left_semi")
-    return stay.dropDuplicates(["_own_id", "_own_sha"]).drop("_own_id", "_own_sha")
+    marked = documents.withColumns({id_: own, sha_: F.sha2(spaced.cast("binary"), 256)})
+    kept = marked.join(stay, F.col(id_).eqNullSafe(F.col(i)) & (F.col(sha_) == F.col(sha)), "left_semi")
+    return kept.dropDuplicates([id_, sha_]).drop(id_, sha_)
