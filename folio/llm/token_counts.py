@@ -11,11 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _WHITE, default_vocabulary, vocabulary
+from .common import written
 
 #: Characters of a leaf, about; a leaf that grows beyond SPLIT times that is cut again.
 LEAF, SPLIT = 512, 8
@@ -107,6 +108,12 @@ class SegmentTree:
 _OUT = "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_chars_edited long, n_chars_reencoded long"
 
 
+#: Rows of one id above which they are dealt to groups of about so many, each with the id's edits.
+MANY = 1000
+#: Ids with more rows are sent to all tasks up to this many, else joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 def edited_token_counts(documents: DataFrame, edits: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per document: tokens before, edits, tokens and characters after them, characters that edits re-encoded.
 
@@ -114,57 +121,61 @@ def edited_token_counts(documents: DataFrame, edits: DataFrame, id_col: str = "d
     order of seq, then of the other columns. Null text counts as empty, null replacement too, null start and length as 0; places outside the text are
     cut to it. Edits of ids that documents lacks and rows with a null id in either table are left out. Where documents
     repeats an id each of its rows is edited alike. A document's edits depend on each other and so run in one task, one after the other, in the
-    memory of one document. Empty tables give empty results.
+    memory of one document. A text without a place to cut is one leaf, which each edit encodes whole. Empty tables give empty results.
+
+    Texts are moved once, to where the edits of their ids are. No tree is kept from one call to the next: a call reads texts anyway,
+    and a stored tree (the leaves with their texts) would be as large as they are.
     """
     path = path or default_vocabulary()
-    ids = F.col(id_col).cast("long").alias("doc_id")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    none = F.lit(None)
-    copies = documents.select(ids, text.alias("text")).where("doc_id is not null").groupBy("doc_id", F.xxhash64("text").alias("h"), "text").agg(F.count("*").alias("copies"))
-    # The text with its edits: one row each. The texts of one id come first; its edits are kept for all of them.
-    first = copies.select("doc_id", F.lit(0).alias("kind"), F.col("h").alias("seq"), F.col("copies").alias("start"), F.lit(0).cast("long").alias("length"), "text")
-    then = edits.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).alias("kind"), F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("start").cast("long"), F.lit(0)).alias("start"), F.coalesce(F.col("length").cast("long"), F.lit(0)).alias("length"), F.coalesce(F.col("replacement").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    rows = first.union(then).repartition("doc_id").sortWithinPartitions("doc_id", "kind", "seq", "start", "length", "text")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where("doc_id is not null")
+    then = edits.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("kind"), F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("start").cast("long"), F.lit(0)).alias("start"), F.coalesce(F.col("length").cast("long"), F.lit(0)).alias("length"), F.coalesce(F.col("replacement").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    zero = F.lit(0).cast("long")
+    many = documents.select(F.col(id_col).cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("c")).where(F.col("c") > MANY)
+    many = written(many.select("doc_id", F.ceil(F.col("c") / MANY).alias("parts")))
+    part = zero
+    if (found := many.count()):
+        few = F.broadcast(many) if found <= BROADCAST_IDS else many
+        docs = docs.join(few, "doc_id", "left")
+        part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("text", F.rand(3)), "parts")).otherwise(zero)
+        then = then.join(few, "doc_id", "left").withColumn("part", F.explode(F.sequence(zero, F.coalesce(F.col("parts") - 1, zero)))).drop("parts")
+    # The edits of an id come first and are held; then each of its texts passes.
+    rows = then.union(docs.select("doc_id", part.alias("part"), F.lit(1).alias("kind"), zero, zero, zero, "text"))
+    rows = rows.repartition("doc_id", "part").sortWithinPartitions("doc_id", "part", "kind", "seq", "start", "length", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocabulary(path)
 
         def count(texts: list[str]) -> list[int]:
             return [len(x) for x in coder.encode(texts)]
 
-        doc, trees, out = None, [], []
-
-        def closed() -> None:
-            out.extend(row for copies, before, built, n, tree in trees for row in [(doc, before, n[0], tree.tokens[1], tree.chars[1], tree.encoded - built)] * copies)
-
-        for pdf in batches:
-            for d, kind, start, length, text in zip(pdf["doc_id"], pdf["kind"], pdf["start"], pdf["length"], pdf["text"]):
-                if d != doc:
-                    closed()
-                    doc, trees = d, []
+        group, own = None, []
+        for batch in batches:
+            out = []
+            for d, p, kind, start, length, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "kind", "start", "length", "text"))):
+                if (d, p) != group:
+                    group, own = (d, p), []
                 if kind == 0:
-                    tree = SegmentTree(text, count)
-                    trees.append((int(start), tree.tokens[1], tree.encoded, [0], tree))
-                else:
-                    for _, _, _, n, tree in trees:
-                        tree.edit(int(start), int(length), text)
-                        n[0] += 1
-            if len(out) >= 1000:
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
-                out.clear()
-        closed()
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
-
-    return rows.mapInPandas(run, _OUT)
+                    own.append((start, length, text))
+                    continue
+                tree = SegmentTree(text, count)
+                before, built = tree.tokens[1], tree.encoded
+                for edit in own:
+                    tree.edit(*edit)
+                out.append((d, before, len(own), tree.tokens[1], tree.chars[1], tree.encoded - built))
+            names = [c.split()[0] for c in _OUT.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(len(names))], names)
+
+    return rows.mapInArrow(run, _OUT)
 
 
 def sample_edits(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Three edits of each document: an insertion at a third, a deletion at the middle, a replacement at the end."""
-    n = F.coalesce(F.length(F.col(text_col)), F.lit(0)).cast("long")
+    """Three edits of each id: an insertion at a third, a deletion at the middle, a replacement at the end. Where an id repeats its longest text counts; null ids have none."""
+    n = F.col("n")
     each = F.array(
         F.struct(F.lit(1).alias("seq"), F.floor(n / 3).alias("start"), F.lit(0).alias("length"), F.lit(" it's 2024\n").alias("replacement")),
         F.struct(F.lit(2).alias("seq"), F.floor(n / 2).alias("start"), F.lit(12).alias("length"), F.lit("").alias("replacement")),
         F.struct(F.lit(3).alias("seq"), F.greatest(n - 6, F.lit(0)).alias("start"), F.lit(5).alias("length"), F.lit("é  fin.").alias("replacement")),
     )
-    return documents.select(F.col(id_col).alias("doc_id"), each.alias("e")).dropDuplicates(["doc_id"]).select("doc_id", F.inline("e"))
+    longest = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n")).where("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("n"))
+    return longest.select("doc_id", F.inline(each))
