@@ -63,20 +63,20 @@ class Passages:
         out[:, : len(_KINDS)] = np.sqrt(out[:, : len(_KINDS)] / length)
         out[:, len(_KINDS) : _WORD_FEATURES] /= some
         out[:, len(_KINDS)] /= 10
-        runs = self._repeated(at, doc, n)
+        runs = self._repeated(at, doc)
         out[:, -4] = np.bincount(passage, self._again(mix(at.astype(np.uint64) + (doc.astype(np.uint64) << np.uint64(32)))), len(out)) / some[:, 0]
         out[:, -3] = np.bincount(passage, runs, len(out)) / some[:, 0]
         out[:, -2] = np.log1p(size) / 4
         out[:, -1] = np.log1p(n)[np.repeat(np.arange(len(n)), passages)] / 8
         return out, passages
 
-    def _repeated(self, at: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """1 for a word that starts a run of three words which its document had before."""
+    def _repeated(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """1 for a word that starts a run of three words which its document had before; runs end with their document."""
         h = mix(at.astype(np.uint64) + np.uint64(1))
-        three = h.copy()
-        three[:-1] = three[:-1] * np.uint64(31) + h[1:]
-        three[:-2] = three[:-2] * np.uint64(37) + h[2:]
-        return self._again(mix(three + mix(doc.astype(np.uint64))))
+        out, starts = np.zeros(len(h)), np.flatnonzero(doc[2:] == doc[:-2])
+        three = (h[starts] * np.uint64(31) + h[starts + 1]) * np.uint64(37) + h[starts + 2]
+        out[starts] = self._again(mix(three + mix(doc[starts].astype(np.uint64))))
+        return out
 
     @staticmethod
     def _again(keys: np.ndarray) -> np.ndarray:
