@@ -52,14 +52,36 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo(self._chunks, np.uint32, 300_000)
-
-    def _chunks(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for lo in range(0, len(chunks), 4096) for e in self.tokenizer.encode_batch_fast(chunks[lo : lo + 4096], add_special_tokens=False)]
+        self.memo = Memo(self._chunks, np.uint32, 1_000_000)
+        #: A sign that is one token between spaces. New chunks without it are encoded many at a time, with it between them.
+        self.between = next((c for c in "|~^" if len(self._ids([c])[0]) == 1), None)
+        self.between_id = self._ids([self.between])[0][0] if self.between else -1
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[str]) -> list:
+        joined = [i for i, c in enumerate(chunks) if self.between and self.between not in c]
+        out: list = [None] * len(chunks)
+        for lo in range(0, len(joined), 2048):
+            some = joined[lo : lo + 2048]
+            ids = np.array(self._ids([f" {self.between} ".join(chunks[i] for i in some)])[0], np.uint32)
+            cuts = np.flatnonzero(ids == self.between_id)
+            if len(cuts) != len(some) - 1:  # never seen: a chunk has the sign's id without the sign
+                found = self._ids([chunks[i] for i in some])
+            else:
+                found = [ids[a:b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(ids)])]
+            for i, x in zip(some, found):
+                out[i] = x
+        rest = [i for i, x in enumerate(out) if x is None]
+        for lo in range(0, len(rest), 4096):
+            for i, x in zip(rest[lo : lo + 4096], self._ids([chunks[i] for i in rest[lo : lo + 4096]])):
+                out[i] = x
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, the number of ids of each text)."""
-        texts = [t if _CASE.search(t) or not unicodedata.is_normalized("NFC", t) else t.lower() for t in texts]
+        texts = [t.lower() if t.isascii() or unicodedata.is_normalized("NFC", t) and not _CASE.search(t) else t for t in texts]
         texts = [_SIGNS.sub(" ", t) for t in texts]
         chunks = [_CHUNK.findall(t) if _ODD.search(t) else t.split() for t in texts]
         ids, lengths = self.memo.values([c for some in chunks for c in some])
