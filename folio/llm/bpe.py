@@ -100,7 +100,7 @@ class Vocabulary:
         keys = list(self.ranks)
         self.whole, self.rank_of = PerfectHash(keys), list(self.ranks.values())
         self.pairs = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
-        self.memo = Memo(self._chunks, np.uint32, 300_000)
+        self.memo = Memo(self._chunks, np.uint32, 700_000)
         self.merged: dict[bytes, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -161,6 +161,13 @@ class Vocabulary:
             out += np.split(ids, ends[:-1])
         return out
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text."""
+        chunks = [_CHUNK.findall(t) for t in texts]
+        at = self.memo.at([c for some in chunks for c in some])
+        ends = np.concatenate([[0], np.cumsum(self.memo.length[at])])[np.cumsum([0, *map(len, chunks)])]
+        return np.diff(ends).tolist()
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
 

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _WHITE, default_vocabulary, vocabulary
-from .common import written
+from .common import slices, written
 
 #: Characters of a leaf, about; a leaf that grows beyond SPLIT times that is cut again.
-LEAF, SPLIT = 512, 8
+LEAF, SPLIT = 128, 8
 _CUT = re.compile(rf"(?<=[^{_WHITE}])(?=[{_WHITE}])")
 
 
@@ -35,17 +35,23 @@ def leaves_of(text: str, size: int = LEAF) -> list[str]:
     return [*out, text[start:]]
 
 
+#: Gives the number of tokens of each text.
+Count = Callable[[list[str]], list[int]]
+
+
 class SegmentTree:
-    """count(list of texts) gives the number of tokens of each. Leaf i is node `base + i` of the heap."""
+    """Sums of characters and tokens over the leaves of a text. Leaf i is node `base + i` of the heap."""
 
-    def __init__(self, text: str, count: Callable[[list[str]], list[int]]):
-        self.count, self.encoded = count, 0
-        texts = leaves_of(text)
-        self._build(texts, self._count(texts))
+    def __init__(self, texts: list[str], tokens: list[int]):
+        self.reencoded = 0
+        self._build(texts, tokens)
 
-    def _count(self, texts: list[str]) -> list[int]:
-        self.encoded += sum(map(len, texts))
-        return self.count(texts)
+    @classmethod
+    def of(cls, texts: list[str], count: Count) -> list[SegmentTree]:
+        """The trees of many texts, whose leaves are counted at once."""
+        leaves = [leaves_of(t) for t in texts]
+        counts = iter(count([leaf for some in leaves for leaf in some]))
+        return [cls(some, [next(counts) for _ in some]) for some in leaves]
 
     def _build(self, texts: list[str], tokens: list[int]) -> None:
         self.base = 1 << max(0, len(texts) - 1).bit_length()
@@ -70,17 +76,20 @@ class SegmentTree:
                 node += 1
         return node - self.base, start
 
-    def edit(self, start: int, length: int, replacement: str) -> None:
-        """Replace `length` characters from `start` on; both are cut to what the text has."""
+    def opened(self, start: int, length: int, replacement: str) -> tuple[int, int, list[str]]:
+        """(first leaf, last leaf, the text that stands for them, in pieces) after `length` characters from `start` on are replaced; both are cut to what the text has."""
         n = self.chars[1]
         start = min(max(start, 0), n)
         stop = min(start + max(length, 0), n)
         first, begin = self._leaf(max(start - 1, 0)) if n else (0, 0)
         last, end = self._leaf(min(stop, n - 1)) if n else (0, 0)
         old = "".join(self.texts[first : last + 1])
-        new = old[: start - begin] + replacement + old[stop - begin :]
-        pieces = leaves_of(new)
-        counts = self._count(pieces)
+        return first, last, leaves_of(old[: start - begin] + replacement + old[stop - begin :])
+
+    def closed(self, first: int, last: int, pieces: list[str], counts: list[int]) -> None:
+        """Put the pieces and their tokens in place of the leaves, and update the sums above."""
+        new = "".join(pieces)
+        self.reencoded += len(new)
         if len(pieces) <= last - first + 1:
             put = [(p, c) for p, c in zip(pieces, counts)]
             put += [("", 0)] * (last - first + 1 - len(put))
@@ -101,10 +110,24 @@ class SegmentTree:
                 self._sum(node)
             touched = {node // 2 for node in touched}
 
+    def edit(self, start: int, length: int, replacement: str, count: Count) -> None:
+        first, last, pieces = self.opened(start, length, replacement)
+        self.closed(first, last, pieces, count(pieces))
+
     def text(self) -> str:
         return "".join(self.texts)
 
 
+def edit_all(trees: list[SegmentTree], edits: list[list[tuple]], count: Count) -> None:
+    """Each tree's edits one after the other; the next edits of all trees are counted at once."""
+    for turn in range(max(map(len, edits), default=0)):
+        at = [i for i, own in enumerate(edits) if turn < len(own)]
+        opened = [trees[i].opened(*edits[i][turn]) for i in at]
+        counts = iter(count([p for _, _, pieces in opened for p in pieces]))
+        for i, (first, last, pieces) in zip(at, opened):
+            trees[i].closed(first, last, pieces, [next(counts) for _ in pieces])
+
+
 _OUT = "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_chars_edited long, n_chars_reencoded long"
 
 
@@ -144,27 +167,25 @@ def edited_token_counts(documents: DataFrame, edits: DataFrame, id_col: str = "d
     rows = rows.repartition("doc_id", "part").sortWithinPartitions("doc_id", "part", "kind", "seq", "start", "length", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = vocabulary(path)
-
-        def count(texts: list[str]) -> list[int]:
-            return [len(x) for x in coder.encode(texts)]
-
+        count = vocabulary(path).counts
+        names = [c.split()[0] for c in _OUT.split(", ")]
         group, own = None, []
         for batch in batches:
-            out = []
+            docs: list[tuple[int, list[tuple], str]] = []
             for d, p, kind, start, length, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "kind", "start", "length", "text"))):
                 if (d, p) != group:
                     group, own = (d, p), []
                 if kind == 0:
                     own.append((start, length, text))
-                    continue
-                tree = SegmentTree(text, count)
-                before, built = tree.tokens[1], tree.encoded
-                for edit in own:
-                    tree.edit(*edit)
-                out.append((d, before, len(own), tree.tokens[1], tree.chars[1], tree.encoded - built))
-            names = [c.split()[0] for c in _OUT.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(len(names))], names)
+                else:
+                    docs.append((d, own, text))
+            for lo, hi in slices([len(x[2]) for x in docs]):
+                some = docs[lo:hi]
+                trees = SegmentTree.of([x[2] for x in some], count)
+                before = [t.tokens[1] for t in trees]
+                edit_all(trees, [x[1] for x in some], count)
+                columns = [[x[0] for x in some], before, [len(x[1]) for x in some], [t.tokens[1] for t in trees], [t.chars[1] for t in trees], [t.reencoded for t in trees]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     return rows.mapInArrow(run, _OUT)
 

@@ -96,10 +96,10 @@ def test_token_counts_follow_edits(spark):
     coder, rng = bpe.vocabulary(bpe.default_vocabulary()), random.Random(2)
     for _ in range(60):
         text = "".join(rng.choice(LETTERS) for _ in range(rng.randint(0, 4000)))
-        tree = token_counts.SegmentTree(text, lambda some: [len(x) for x in coder.encode(some)])
+        (tree,) = token_counts.SegmentTree.of([text], lambda some: [len(x) for x in coder.encode(some)])
         for _ in range(6):
             start, length, new = rng.randint(0, len(text) + 2), rng.randint(0, 900), "".join(rng.choice(LETTERS) for _ in range(rng.choice((0, 3, 6000))))
-            tree.edit(start, length, new)
+            tree.edit(start, length, new, coder.counts)
             text = text[:start] + new + text[start + length :]
             assert tree.text() == text and tree.tokens[1] == len(coder.encode([text])[0])
     docs = frame(spark, ["a b c", None])
