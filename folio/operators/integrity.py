@@ -1,10 +1,21 @@
-"""Checks of numbering: duplicates and gaps among the children of a node."""
+"""Checks of a parsed act: repeated ids, gaps and breaks of numbering, what the source declares of itself.
+
+A node table has doc_id, node_id, seq, ptype, local_id, citation, parent_id, heading, marker, ordinal (among its siblings, from 0).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normal_title, roman_value
+
+#: Types of nodes that count as annexes; types of documents whose full text needs a licence.
+ANNEXES = ["annex", "amending_annex", "table_annex", "correlation_annex"]
+LICENSED = ["InternationalStandard", "EuropeanStandard", "TechnicalSpecification", "TechnicalReport"]
+#: Gaps of recitals that a report lists.
+RECITAL_GAPS = 10
+
 
 def duplicate_ids(children: DataFrame, parent: str, number: str) -> DataFrame:
     """(parent, number, copies) of numbers that a parent has more than once."""
@@ -17,3 +28,92 @@ def numbering_gaps(children: DataFrame, parent: str, number: str) -> DataFrame:
     previous = F.coalesce(F.lag("before").over(Window.partitionBy(parent).orderBy("before")), F.lit(0))
     gaps = known.withColumn("after", previous).where("before - after > 1")
     return gaps.select(parent, "after", "before", (F.col("before") - F.col("after") - 1).alias("missing"))
+
+
+def renamed(nodes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """nodes with `node_id` made unique: the k-th row of an id in the given order gets ~k from 2 on. `copy` is k."""
+    copy = F.row_number().over(Window.partitionBy(*keys, "node_id").orderBy(*order))
+    named = nodes.withColumn("copy", copy)
+    return named.withColumn("node_id", F.when(F.col("copy") > 1, F.concat("node_id", F.lit("~"), "copy")).otherwise(F.col("node_id")))
+
+
+def kind_gaps(nodes: DataFrame) -> DataFrame:
+    """(doc_id, kind, n_found, gaps): articles by the digits they start with, annexes by Roman numerals, recitals; gaps up to the highest number, of recitals the first ten.
+
+    Numbers that cannot be read count as found and fill no gap.
+    """
+    n = F.when(F.col("kind") == "annex", roman_value(F.col("local_id"))).otherwise(F.regexp_extract("local_id", r"^\d+", 0).try_cast("int"))
+    kind = F.when(F.col("ptype").isin(ANNEXES), "annex").when(F.col("ptype").isin("article", "recital"), F.col("ptype"))
+    found = nodes.select("doc_id", kind.alias("kind"), "local_id").where("kind is not null").select("doc_id", "kind", n.alias("n"))
+    sets = found.groupBy("doc_id", "kind").agg(F.count("*").alias("n_found"), F.collect_set("n").alias("seen"))
+    gaps = F.when(F.size("seen") == 0, F.array().cast("array<int>")).otherwise(F.array_except(F.sequence(F.lit(1), F.greatest(F.array_max("seen"), F.lit(1))), "seen"))
+    return sets.select("doc_id", "kind", "n_found", F.when(F.col("kind") == "recital", F.slice(gaps, 1, RECITAL_GAPS)).otherwise(gaps).alias("gaps"))
+
+
+def without_articles(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, message) of documents without any article."""
+    missing = documents.select("doc_id").distinct().join(nodes.where("ptype = 'article'"), "doc_id", "left_anti")
+    return missing.withColumn("message", F.lit("No articles found"))
+
+
+def letter_breaks(nodes: DataFrame) -> DataFrame:
+    """(doc_id, parent_id, found): parents whose lettered children are not a, b, c and on, in order."""
+    lettered = nodes.where("marker = 'letter' and parent_id is not null").groupBy("doc_id", "parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "local_id"))), lambda x: x["local_id"]).alias("found"))
+    wanted = F.transform(F.sequence(F.lit(0), F.size("found") - 1), lambda i: F.char(F.lit(97) + i))
+    return lettered.where(F.col("found") != wanted)
+
+
+def paragraph_breaks(nodes: DataFrame) -> DataFrame:
+    """(doc_id, parent_id, found): parents whose numbered paragraphs do not run from 1, or in a part from where the parts before it ended."""
+    numbered = nodes.where((F.col("ptype") == "paragraph") & F.col("local_id").rlike(r"^\d+$") & F.col("parent_id").isNotNull()).select("doc_id", "parent_id", "ordinal", F.col("local_id").cast("int").alias("n"))
+    lists = numbered.groupBy("doc_id", "parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "n"))), lambda x: x["n"]).alias("found"), F.max("n").alias("top"))
+    own = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("above"), "ptype", "ordinal")
+    siblings = Window.partitionBy("doc_id", "above", "ptype").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    part = (F.col("ptype") == "part") & F.col("above").isNotNull()
+    before = own.join(lists, ["doc_id", "parent_id"]).withColumn("before", F.when(part, F.max("top").over(siblings)))
+    start = F.when(F.col("found")[0] == F.col("before") + 1, F.col("found")[0]).otherwise(1)
+    wanted = F.sequence(start, start + F.size("found") - 1)
+    return before.where(F.col("found") != wanted).select("doc_id", "parent_id", "found")
+
+
+def section_breaks(nodes: DataFrame) -> DataFrame:
+    """(doc_id, parent_id, found): parents whose sections are not 1, 2, 3 and on."""
+    lists = nodes.where("ptype = 'section' and parent_id is not null").groupBy("doc_id", "parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "local_id"))), lambda x: x["local_id"]).alias("found"))
+    return lists.where(F.col("found") != F.transform(F.sequence(F.lit(1), F.size("found")), lambda i: i.cast("string")))
+
+
+def headingless_articles(nodes: DataFrame) -> DataFrame:
+    """(doc_id, citation) of articles without a heading."""
+    return nodes.where("ptype = 'article' and coalesce(heading, '') = ''").select("doc_id", "citation")
+
+
+def node_type_histogram(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("doc_id", "ptype").agg(F.count("*").alias("n"))
+
+
+def unrecorded_amendments(titles: DataFrame, amendments: DataFrame) -> DataFrame:
+    """(doc_id, act) of acts that a title amends (doc_id, act) and that no amendment (doc_id, target_act) is recorded for."""
+    return titles.select("doc_id", "act").distinct().join(amendments.select("doc_id", F.col("target_act").alias("act")), ["doc_id", "act"], "left_anti")
+
+
+def declaration_errors(documents: DataFrame) -> DataFrame:
+    """(doc_id, message) where the address or the title that is declared differs from what the source says.
+
+    documents: doc_id, eli_uri, canonical, title, detected_title. A title must be part of the detected one, unless that is a file's name.
+    """
+    stripped = lambda c: F.regexp_replace(c, "/+$", "")
+    address = (F.coalesce("eli_uri", F.lit("")) != "") & (F.coalesce("canonical", F.lit("")) != "") & (stripped(F.col("eli_uri")) != stripped(F.col("canonical")))
+    detected = F.coalesce("detected_title", F.lit(""))
+    titled = (detected != "") & ~detected.rlike(r"^L_\d{9}[A-Z]{2}\.\d+\.fmx\.xml$") & ~F.contains(normal_title(detected), normal_title(F.col("title")))
+    found = F.array_compact(F.array(F.when(address, F.lit("canonical address differs from the declared one")), F.when(titled, F.lit("source title differs from the declared one"))))
+    return documents.select("doc_id", F.explode(found).alias("message"))
+
+
+def gate(documents: DataFrame, findings: DataFrame, override: bool = False) -> DataFrame:
+    """Documents that may be extracted from: those without findings (doc_id), or all."""
+    return documents if override else documents.join(findings.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def storable(documents: DataFrame, licensed: bool = False) -> DataFrame:
+    """documents with `store_text`: full texts of licensed types are stored only where that is allowed."""
+    return documents.withColumn("store_text", F.lit(licensed) | ~F.col("doc_type").isin(LICENSED))

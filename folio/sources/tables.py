@@ -1,4 +1,4 @@
-"""Readers of the test tables and a synthetic act: documents, chapters, articles, paragraphs and points as one node table."""
+"""Readers of the test tables, and articles, paragraphs and points of a synthetic act."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(article_id, paragraph_id, number): the orders of a customer are the paragraphs of an article."""
+    """(article_id, paragraph_id): the orders of a customer are the paragraphs of an article."""
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("article_id"), F.col("o_orderkey").alias("paragraph_id"))
 
 
