@@ -7,8 +7,8 @@ pays about three bytes for a match, as much as for a short word, so words are co
 letters, fixed bytes drawn from them, the rest, and fixed bytes drawn from the whole word. A known word is then
 one long match, a known stem half of one, and any other word costs the same under both.
 
-A word's distance is its length under the ordinary dictionary less that under the toxic one; a window's is the
-sum over its words. A document's score comes from its largest window and its totals, through a logistic
+Every window of a text is compressed whole under both; its distance is its length under the ordinary dictionary less
+that under the toxic one. A document's score comes from its largest window and its totals, through a logistic
 calibration fitted on labelled documents that the dictionaries have not seen.
 """
 
@@ -23,17 +23,17 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import Memo, labelled_sample, ragged
+from .common import labelled_sample
 from .scoring import base_rate, fitted_logistic, kept, report, shifted, sigmoid
 
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 6000
-WINDOW, STEM, LEVEL = 32, 5, 3
+WINDOW, STEM, LEVEL = 8, 5, 3
 FREQUENT = 1500
 #: A word is typical of a class that has it in this share of documents at least, so many times more often than the
 #: other, and between different neighbours as often: the words of one text that has many copies are not typical.
 TYPICAL_SHARE, TYPICAL_RATIO = 0.01, 20
-#: Bytes by which a word must be shorter under the toxic dictionary to count as a hit: a stem, a whole word.
+#: Bytes by which a window must be shorter under the toxic dictionary to count as a hit: by a stem, by a whole word.
 STEM_HIT, HIT = 3, 8
 THRESHOLD = 0.5
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -87,29 +87,31 @@ class Distances:
     def __init__(self, model: Model):
         kinds = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (model.ordinary, model.toxic)]
         self.compressors = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for d in kinds]
-        self.memo = Memo(self._words, np.int16, 300_000)
-
-    def _words(self, found: list[bytes]) -> list[tuple[int]]:
+        self.codes: dict[bytes, bytes] = {}
+
+    def windows(self, text: str) -> list[bytes]:
+        """The codes of each WINDOW words of a text, put together; the last window may have fewer."""
+        found = words(text)
+        if len(self.codes) > 300_000:  # kept for the words met before
+            self.codes.clear()
+        for w in set(found).difference(self.codes):
+            self.codes[w] = code(w)
+        coded = [*map(self.codes.__getitem__, found)]
+        return [b"".join(coded[i : i + WINDOW]) for i in range(0, len(coded), WINDOW)]
+
+    def of(self, windows: list[bytes]) -> np.ndarray:
+        """By how many bytes each window is shorter under the toxic dictionary."""
         ordinary, toxic = (c.compress for c in self.compressors)
-        coded = map(code, found)
-        return [(len(ordinary(c)) - len(toxic(c)),) for c in coded]
+        return np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in windows), np.int64, len(windows))
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """For each text: the largest window, hits and their share of the words, and what stems alone add; as logarithms."""
-        split = [words(t) for t in texts]
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        d, _ = self.memo.values([w for some in split for w in some])
-        hit, stem = d >= HIT, (d >= STEM_HIT) & (d < HIT)
+        """For each text: its largest distance, what its windows are shorter by in all and by window, and what stems alone add; as logarithms."""
         out = np.zeros((len(texts), 4))
-        full = np.flatnonzero(n)
-        if len(full):
-            starts = (np.cumsum(n) - n)[full]
-            windows = -(-n[full] // WINDOW)
-            first = np.repeat(starts, windows) + WINDOW * ragged(np.zeros(len(full), np.int64), windows)
-            window = np.add.reduceat(np.where(hit, d, 0).astype(np.float64), first)
-            hits, stems = (np.add.reduceat(x.astype(np.float64), starts) for x in (hit, stem))
-            out[full, 0] = np.maximum.reduceat(window, np.cumsum(windows) - windows)
-            out[full, 1], out[full, 2], out[full, 3] = hits, 100 * hits / (n[full] + 10), 100 * stems / (n[full] + 10)
+        for row, text in zip(out, texts):
+            d = self.of(self.windows(text))
+            if len(d):
+                hit, stem = d[d >= HIT], d[(d >= STEM_HIT) & (d < HIT)]
+                row[:] = hit.max(initial=0), hit.sum() / HIT, 100 * hit.sum() / (HIT * WINDOW * len(d) + 10), 100 * len(stem) / (len(d) + 10)
         return np.log1p(out)
 
 
