@@ -52,7 +52,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo(self._chunks, np.uint32, 1_000_000)
+        self.memo = Memo(self._chunks, np.uint32, 400_000)
         #: A sign that is one token between spaces. New chunks without it are encoded many at a time, with it between them.
         self.between = next((c for c in "|~^" if len(self._ids([c])[0]) == 1), None)
         self.between_id = self._ids([self.between])[0][0] if self.between else -1
