@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import re
 from collections.abc import Iterator
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Containers a page votes for, paths kept of a host, and hosts up to which the paths are sent to all tasks.
-VOTES, PATHS, BROADCAST_HOSTS = 3, 8, 50_000
+#: Containers a page votes for, paths kept of a host, and letters of hosts and paths up to which these are sent to all tasks.
+VOTES, PATHS, BROADCAST_LETTERS = 3, 8, 16_000_000
 SALTS = 32
 #: Share of a page's text beside links above which an element is no clutter, whatever its name, and share of the text of the page's own best container that a path of the host must give.
 MOST, FAIR = 2 / 3, 0.3
@@ -52,10 +53,20 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Page:
-    """A lenient tree of a page: for each node its parent, tag, path and whether it is clutter; and the texts in page order."""
+    """A lenient tree of a page: for each node its parent, tag, path and whether it is clutter; and the texts in page order.
+
+    A path is a number, told by the path above it and its last part, so memory grows with the nodes, however deep they lie.
+    """
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.path, self.clutter, self.link, self.block = [-1], [""], [""], [False], [False], [0]
+        self.parent, self.tag, self.path, self.clutter, self.link, self.block = [-1], [""], [0], [False], [False], [0]
+        #: The outermost `article` and `main` that holds a node, itself included, or 0.
+        self.article, self.main = [0], [0]
+        #: The innermost node that holds a node, itself included, and is no block of text.
+        self.holder = [0]
+        #: Number of a path by the number of the one above and its last part, and the same the other way round.
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.parts: list[tuple[int, str]] = [(-1, "")]
         #: (node, text); text is a space where a block or a line ends.
         self.texts: list[tuple[int, str]] = []
         self._read(source)
@@ -141,59 +152,75 @@ class Page:
             named = name not in _HEADINGS and any(t & _CLUTTER and t <= _CLUTTER | _PLAIN for t in tokens)
             named = named and not (any("header" in t for t in tokens) and any(t & {"article", "post", "entry"} for t in tokens))
             own = name in _DROPPED or named or found.get("role", "").lower() in _ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-            own = own or name == "header" and not self._within(parent, {"article"})
-        first = re.sub(r"\d+", "", classes.split()[0].lower()) if classes.split() else ""
+            own = own or name == "header" and not self.article[parent]
+        first = re.sub(r"[\d/]+", "", classes.split()[0].lower()) if classes.split() else ""
         node = len(self.parent)
         self.parent.append(parent)
         self.tag.append(name)
-        self.path.append(f"{self.path[parent]}/{name}.{first}" if first else f"{self.path[parent]}/{name}")
+        part = (self.path[parent], f"{name}.{first}" if first else name)
+        if part not in self.numbers:
+            self.numbers[part] = len(self.parts)
+            self.parts.append(part)
+        self.path.append(self.numbers[part])
+        self.article.append(self.article[parent] or (node if name == "article" else 0))
+        self.holder.append(self.holder[parent] if name in _TEXT_BLOCKS else node)
+        self.main.append(self.main[parent] or (node if name == "main" else 0))
         self.clutter.append(own)
         self.link.append(self.link[parent] or name == "a")
         self.block.append(node if name in _BLOCKS else self.block[parent])
         return node
 
-    def _within(self, node: int, tags: set[str]) -> int:
-        """The outermost of the node and its ancestors that has one of the tags, or 0."""
-        found = 0
-        while node > 0:
-            if self.tag[node] in tags:
-                found = node
-            node = self.parent[node]
-        return found
-
-    def containers(self) -> list[tuple[str, float]]:
-        """Generalised paths of containers and their scores, the best first. Text of paragraphs counts for what holds them, half for what holds that; links count against it."""
+    def _spelt(self, number: int) -> str:
+        parts = []
+        while number:
+            number, part = self.parts[number]
+            parts.append(part)
+        return "".join(f"/{p}" for p in reversed(parts))
+
+    def _number(self, path: str) -> int:
+        """The number of a path, or 0 where the page has none such."""
+        number = 0
+        for part in path.split("/")[1:]:
+            number = self.numbers.get((number, part), 0)
+            if not number:
+                break
+        return number
+
+    def containers(self, n: int) -> list[tuple[str, float]]:
+        """Generalised paths of the n best containers and their scores, the best first, of equal ones that which comes first in the page. Text of paragraphs counts for what holds them, half for what holds that; links count against it."""
         score: dict[int, float] = {}
         for node, text in self.texts:
             length = len(text.strip())
             if not length or self.clutter[node]:
                 continue
             worth = -float(length) if self.link[node] else float(length)
-            holder = self.block[node]
-            while self.tag[holder] in _TEXT_BLOCKS:
-                holder = self.parent[holder]
-            whole = self._within(holder, {"article"}) or self._within(holder, {"main"})
+            holder = self.holder[self.block[node]]
+            whole = self.article[holder] or self.main[holder]
             if whole:
                 score[whole] = score.get(whole, 0) + 1.5 * worth
                 continue
             score[holder] = score.get(holder, 0) + worth
             if (above := self.parent[holder]) > 0:
                 score[above] = score.get(above, 0) + worth / 2
-        by_path: dict[str, float] = {}
+        by_path: dict[int, float] = {}
         for node, s in score.items():
             by_path[self.path[node]] = by_path.get(self.path[node], 0) + s
-        return sorted(((p, s) for p, s in by_path.items() if s > 0), key=lambda x: (-x[1], x[0]))
+        best = heapq.nsmallest(n, ((-s, p) for p, s in by_path.items() if s > 0))
+        return [(self._spelt(p), -s) for s, p in best]
 
     def on(self, path: str) -> str:
         """Text of all elements on the path; what is clutter inside them is left out."""
-        inside = [False] * len(self.parent)
-        for node in range(len(self.parent)):
-            inside[node] = self.path[node] == path or (node > 0 and inside[self.parent[node]])
+        number = self._number(path)
+        if path and not number:
+            return ""
+        inside = [not path] * len(self.parent)
+        for node in range(1, len(self.parent)):
+            inside[node] = self.path[node] == number or inside[self.parent[node]]
         return " ".join("".join(t if inside[n] else " " for n, t in self.texts).split())
 
     def text(self, paths: list[str]) -> str:
         """Text on the first of the paths that gives a fair share of what the page's own best container has, or else of that container."""
-        own = next((self.on(path) for path, _ in self.containers()[:1]), "")
+        own = next((self.on(path) for path, _ in self.containers(1)), "")
         return next((found for found in map(self.on, paths) if found and len(found) >= FAIR * len(own)), own)
 
 
@@ -201,7 +228,7 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         host, path, vote = [], [], []
         for h, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            best = Page(source or "").containers()[:VOTES]
+            best = Page(source or "").containers(VOTES)
             total = sum(s for _, s in best)
             for p, s in best:
                 host.append(h)
@@ -237,7 +264,8 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     host = F.nullif(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
     paths = written(host_paths(rows))
-    if paths.count() <= BROADCAST_HOSTS:
+    letters = paths.agg(F.sum(F.length("host") + F.length(F.array_join("paths", "")))).first()[0] or 0
+    if letters <= BROADCAST_LETTERS:
         joined = rows.join(F.broadcast(paths), "host", "left")
     else:  # a host's pages are dealt to SALTS groups
         salted = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

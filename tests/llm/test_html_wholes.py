@@ -35,3 +35,18 @@ def test_page_of_a_second_template(spark):
     found = {r["page_id"]: r["text"] for r in main_texts(rows).collect()}
     assert f"{WANT} {WANT}" in found.pop(9)
     assert found == {i: WANT for i in range(5)}
+
+
+def test_deep_pages_take_memory_by_their_nodes():
+    import tracemalloc
+
+    page = "<body>" + "<div class=a>" * 40_000 + f"<p>{TEXT}"
+    tracemalloc.start()
+    assert Page(page).text([]) == WANT
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+
+
+def test_page_without_elements_and_paths_it_lacks():
+    assert Page("plain <b>text</b>").text(["/body/div.x"]) == "plain text"
+    assert Page(f"<body><div class='w-1/2'><p>{TEXT}</div>").containers(1)[0][0] == "/body/div.w-"
