@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import conditions, integrity, ontology, packages, reconcile, signals, units
-from ..sources import formex, layout
+from ..sources import act_html, formex, layout
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,6 +236,23 @@ def xml_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _formex(spark).select("seq", "node_id", "ptype", "local_id", "citation", "parent_id", "heading", "text", "is_normative", "marker")
 
 
+ACT_PAGE = """<html><body><div id="rct_1"><table><tr><td>(1)</td><td>Legal acts <a class="oj-note-tag">(1)</a> require clear structure.</td></tr></table></div>
+<div id="cpt_I"><div class="eli-title"><p>General</p></div><div id="art_1"><div class="eli-title"><p>Purpose</p></div><div id="001.001"><p class="oj-normal">1.   Manufacturers shall act.</p>
+<table><tr><td><p class="oj-normal">(a)</p></td><td><p class="oj-normal">Keep records.</p></td></tr></table><p class="oj-normal">They shall keep them.</p></div></div></div>
+<div class="eli-container" id="anx_I"><p class="oj-doc-ti">ANNEX I</p><p class="oj-doc-ti">Products</p><p class="oj-ti-grseq-1">Part A</p><p class="oj-ti-grseq-1">Tools</p><table><tr><td>1.</td><td><p>Saws</p></td></tr><tr><td>1.</td><td><p>Drills</p></td></tr></table></div></body></html>"""
+
+
+def html_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = act_html.act_nodes(rows_of(spark, "doc_id string, short_name string, content string", ("d", "TEST", ACT_PAGE)))
+    return nodes.select("seq", "node_id", "ptype", "citation", "parent_id", "heading", "text", "marker")
+
+
+def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of the table read as an act. As none is one, each has its preamble alone."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.lit("PAGE").alias("short_name"), F.col("html").alias("content"))
+    return act_html.act_nodes(pages).select("doc_id", "node_id", "ptype", "text")
+
+
 def xml_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan of the parsed act: one bootstrap unit of three provisions and no main unit."""
     documents = rows_of(spark, "doc_id string, short_name string", ("d", "TEST"))
@@ -422,6 +439,8 @@ ORACLE_SQL: dict[str, str] = {
     "correlations": _values("doc_id INTEGER, page_no INTEGER, line_no INTEGER, repealed VARCHAR, this_act VARCHAR", (0, 1, 4, "Article 2", None), (0, 1, 5, "Articles 3 and 4", "Article 7(1)")),
     "letter_spacing": _values("doc_id INTEGER, page_no INTEGER, line_no INTEGER, line VARCHAR, fixed BOOLEAN", (1, 0, 0, " " * 22 + "HAVE ADOPTED THIS", True), (1, 0, 1, "plain line", False), (1, 0, 2, " " * 22 + "NO REF ER EN CE", False)),
     "xml_parse": _values("seq INTEGER, node_id VARCHAR, ptype VARCHAR, local_id VARCHAR, citation VARCHAR, parent_id VARCHAR, heading VARCHAR, text VARCHAR, is_normative BOOLEAN, marker VARCHAR", (0, "test:preamble", "preamble", "pre", "TEST Preamble", None, "", "", False, ""), (1, "test:rec_1", "recital", "1", "TEST Recital (1)", "test:preamble", "", "(1) Legal acts require clear structure.", False, ""), (2, "test:chap_I", "chapter", "I", "TEST Chapter I", "test:preamble", "General", "", True, ""), (3, "test:art_1", "article", "1", "TEST Art. 1", "test:chap_I", "Purpose", "", True, ""), (4, "test:art_1.par_1", "paragraph", "1", "TEST Art. 1(1)", "test:art_1", "", "Manufacturers shall act.", True, "paragraph"), (5, "test:art_1.par_1.point_a", "point", "a", "TEST Art. 1(1)(a)", "test:art_1.par_1", "", "Keep records.", True, "letter")),
+    "html_parse": _values("seq INTEGER, node_id VARCHAR, ptype VARCHAR, citation VARCHAR, parent_id VARCHAR, heading VARCHAR, text VARCHAR, marker VARCHAR", (0, "test:preamble", "preamble", "TEST Preamble", None, "", "", ""), (1, "test:rec_1", "recital", "TEST Recital (1)", "test:preamble", "", "Legal acts require clear structure.", ""), (2, "test:chap_I", "chapter", "TEST Chapter I", None, "General", "", ""), (3, "test:art_1", "article", "TEST Art. 1", "test:chap_I", "Purpose", "", ""), (4, "test:art_1.par_1", "paragraph", "TEST Art. 1(1)", "test:art_1", "", "Manufacturers shall act.", "paragraph"), (5, "test:art_1.par_1.let_a", "point", "TEST Art. 1(1)(a)", "test:art_1.par_1", "", "Keep records.", "letter"), (6, "test:art_1.par_1.subpar_2", "subparagraph", "TEST Art. 1(1), subparagraph 2", "test:art_1.par_1", "", "They shall keep them.", "subpar"), (7, "test:anx_I", "annex", "TEST Annex I", None, "Products", "", ""), (8, "test:anx_I.part_A", "part", "TEST Annex I, Part A", "test:anx_I", "Tools", "", ""), (9, "test:anx_I.part_A.par_1", "paragraph", "TEST Annex I, Part A, point 1", "test:anx_I.part_A", "", "Saws", "paragraph"), (10, "test:anx_I.part_A.par_1~2", "paragraph", "TEST Annex I, Part A, point 1", "test:anx_I.part_A", "", "Drills", "paragraph")),
+    "page_nodes": "SELECT CAST(page_id AS VARCHAR) AS doc_id, 'page:preamble' AS node_id, 'preamble' AS ptype, '' AS text FROM pages",
     "xml_units": _values("doc_id VARCHAR, phase VARCHAR, unit_id VARCHAR, n_nodes BIGINT", ("d", "bootstrap", "test:art_1", 3)),
     "unit_packing": _values("phase VARCHAR, root_id VARCHAR, part INTEGER, ordinal INTEGER, node_id VARCHAR", ("bootstrap", "a1", None, 0, "a1"), ("bootstrap", "a1", None, 1, "p1"), ("bootstrap", "a1", None, 2, "p2"), ("bootstrap", "a1", None, 3, "p3"), ("bootstrap", "a7", None, 0, "a7"), ("main", "a8", None, 0, "a8"), ("bootstrap", "g1", None, 0, "g1"), ("main", "n2", None, 0, "n2")),
     "unit_contexts": _values("unit_id VARCHAR, first VARCHAR, date VARCHAR", ("a7", "a7", None), ("a8", "a8", "1 May 2025"), ("g1", "g1", "2 May 2025"), ("n2", "n2", None)),

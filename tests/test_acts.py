@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(acts.QUERIES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for table in "region nation customer orders lineitem documents".split():
+    for table in "region nation customer orders lineitem documents pages".split():
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = acts.QUERIES[name](spark, SF)
     found = con.execute(acts.ORACLE_SQL[name])
