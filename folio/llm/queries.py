@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extraction, jaccard_join, license_scan, packing, quality, token_counts, topk_search, toxicity
+from . import bpe, exact_dedup, html_extraction, jaccard_join, lexical_search, license_scan, neural_lm, packing, quality, token_counts, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neural_lm.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op3_token_counts, op4_license_scan, op5_toxicity, op6_quality_classifier, op7_html_extraction, op8_topk_search, op9_exact_dedup, op10_packing)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op3_token_counts, op4_license_scan, op5_toxicity, op6_quality_classifier, op7_html_extraction, op8_topk_search, op9_exact_dedup, op10_packing, op11_lexical_search, op12_lm_scores)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -94,4 +102,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
             doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
+    "op11_lexical_search": r"""
+        WITH t AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+        ), d AS (SELECT doc_id, ts, CAST(len(ts) AS BIGINT) AS n FROM t WHERE len(ts) > 0),
+        c AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d),
+        q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), o AS (SELECT doc_id, n, unnest(ts) AS term FROM d),
+        p AS (SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM o WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term, big_n),
+        s AS (
+            SELECT q.item_id, p.doc_id, CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (10 + (90 * p.n * c.big_n) // c.big_l)))) AS BIGINT) AS score
+            FROM q JOIN p USING (term) JOIN w USING (term), c GROUP BY 1, 2
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 10""",
 }
