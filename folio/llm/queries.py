@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extraction, jaccard_join, lexical_search, license_scan, neural_lm, packing, quality, token_counts, topk_search, toxicity
+from . import bpe, exact_dedup, html_extraction, jaccard_join, lexical_search, license_scan, neural_lm, packing, phrases, quality, token_counts, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,12 @@ def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neural_lm.lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op3_token_counts, op4_license_scan, op5_toxicity, op6_quality_classifier, op7_html_extraction, op8_topk_search, op9_exact_dedup, op10_packing, op11_lexical_search, op12_lm_scores)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op3_token_counts, op4_license_scan, op5_toxicity, op6_quality_classifier, op7_html_extraction, op8_topk_search, op9_exact_dedup, op10_packing, op11_lexical_search, op12_lm_scores, op13_phrase_collocations)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -118,4 +122,26 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
         FROM s WHERE score > 0 QUALIFY rank <= 10""",
+    "op13_phrase_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+        g AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i+k-1], ' '))) AS phrase
+            FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(ws) >= k
+        ), f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 100),
+        cut AS (SELECT lang, k, phrase, a, ws, unnest(range(1, k)) AS j FROM c),
+        s AS (
+            SELECT cut.lang, cut.phrase, cut.a, cut.j, x.f AS l, y.f AS r, n.n, (1000 * cut.a::HUGEINT * n.n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+            FROM cut JOIN n USING (lang)
+            JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(cut.ws[1:cut.j], ' ')
+            JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(cut.ws[cut.j+1:], ' ')
+            QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY score, cut.j) = 1
+        ), o AS (SELECT lang, a, ws, k, unnest(range(2, k)) AS m FROM c),
+        i AS (SELECT DISTINCT lang, a, unnest(list_transform(range(1, k - m + 2), lambda b: array_to_string(ws[b:b+m-1], ' '))) AS phrase FROM o)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase,
+            CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM s ANTI JOIN i USING (lang, a, phrase) QUALIFY rank <= 2000""",
 }
