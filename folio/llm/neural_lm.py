@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from .common import ragged, written
 
 #: Outputs: words (the end of a text among them), classes of one ending each, and classes of hashed endings.
-WORDS, ENDINGS, HASHED = 320, 160, 32
+WORDS, ENDINGS, HASHED = 224, 128, 32
 OUTPUTS = WORDS + ENDINGS + HASHED
 WIDTH, CONTEXT = 32, 3
 #: Passes over training documents: each over those whose hash leaves no rest; the last is over all.
 ROUNDS = (8, 1)
-BATCH, NOISE, SHARE, RATE = 1024, 64, 16.0, 0.15
+BATCH, NOISE, SHARE, RATE = 1024, 32, 16.0, 0.15
 #: Words whose counts are sent to all tasks, at most; counts of rarer words are joined.
 KNOWN = 131_072
 #: Words counted in a task before they are handed on, and parameters averaged at once.
@@ -185,17 +185,25 @@ class Network:
         return Network(*(x.reshape(s).copy() for x, s in zip(np.split(flat, ends[:-1]), shapes)))
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
-        return (self.r[context] * self.place[:, None, :]).sum(0)
+        return sum(self.r[c] * p for c, p in zip(context, self.place))
 
     def log_probabilities(self, context: np.ndarray, output: np.ndarray) -> np.ndarray:
-        """Natural logarithms, normalised over all outputs by one matrix product for many tokens."""
-        found = np.empty(len(output))
-        for lo in range(0, len(output), 2048):
-            some = slice(lo, lo + 2048)
-            s = self.predicted(context[:, some]) @ self.q.T + self.b
-            s -= s.max(1, keepdims=True)
+        """Natural logarithms, normalised over all outputs by one matrix product for many tokens; sums that overflow are taken again below their largest part."""
+        found, one = np.empty(len(output)), np.ones(OUTPUTS, np.float32)
+        q = np.ascontiguousarray(np.column_stack([self.q, self.b]).T)
+        for lo in range(0, len(output), 512):
+            some = slice(lo, lo + 512)
+            h = self.predicted(context[:, some])
+            s = np.column_stack([h, np.ones(len(h), np.float32)]) @ q
             own = s[np.arange(len(s)), output[some]]
-            found[some] = own - np.log(np.exp(s, out=s).sum(1, dtype=np.float64))
+            with np.errstate(over="ignore"):
+                z = np.exp(s, out=s) @ one
+            if np.isfinite(z).all() and z.all():
+                found[some] = own - np.log(z)
+            else:
+                s = h.astype(np.float64) @ self.q.T + self.b
+                top = s.max(1, keepdims=True)
+                found[some] = s[np.arange(len(s)), output[some]] - top[:, 0] - np.log(np.exp(s - top).sum(1))
         return found
 
 
