@@ -8,7 +8,8 @@ by one and ANDed with a word's bitmap it becomes that of the longer phrase, and
 Two walks are made. The first extends all words by one; the numbers of pairs are summed over shards under hashes of 40
 bits, and shards are told which hashes reach the least number: no pair that does is lost, and a pair that does not is
 found out when it is counted exactly. The second walk extends depth first, by frequent pairs only, up to the longest
-phrases. What it finds is counted under its own text over all shards.
+phrases. What it finds is counted under its own text over all shards; shards hand their numbers on packed, by parts of
+the phrases' hashes.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ SALTS = 64
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 #: Another language of equal words gives other hashes.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+#: Factors of the hashes of the words of a phrase, by place.
+_ODDS = mix(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 
 
 def words_of(raw: bytes) -> Iterator[list[bytes]]:
@@ -235,8 +238,8 @@ def _deeper(maps: Bitmaps, parts: np.ndarray, phrase: np.ndarray, block: np.ndar
         yield from _deeper(maps, longer, place, block, mask, pairs, words, longest)
 
 
-def _phrases(longest: int):
-    """The second walk: phrases of two words and more, and their numbers in a shard."""
+def _phrases(longest: int, parts: int):
+    """The second walk: phrases of two words and more, and their numbers in a shard, packed by parts of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,13 +257,45 @@ def _phrases(longest: int):
                     first.append(keys[often])
                     chunks.append((keys[often], bits[often], (np.cumsum(often) - 1)[place[hit]], block[hit], mask[hit]))
                 pairs = np.concatenate(first)
+                counted = _Packed(batch.column("shard")[i].as_py(), lang, parts)
                 for keys, bits, phrase, block, mask in chunks:
                     if not len(keys):
                         continue
-                    parts = np.column_stack([keys // n, keys % n]).astype(np.int32)
-                    found = [(parts, bits), *(_deeper(maps, parts, phrase, block, mask, pairs, n, longest) if longest > 2 else ())]
-                    for p, c in found:
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), _texts(words, p), pa.array(c)], ["lang", "phrase", "f"])
+                    pair = np.column_stack([keys // n, keys % n]).astype(np.int32)
+                    for p, c in [(pair, bits), *(_deeper(maps, pair, phrase, block, mask, pairs, n, longest) if longest > 2 else ())]:
+                        counted.add(_texts(words, p), c, h[p] @ _ODDS[: p.shape[1]])
+                yield from counted.rows()
+
+    return run
+
+
+class _Packed:
+    """Phrases of a shard and their numbers, as one row for each part of their hashes."""
+
+    def __init__(self, shard: int, lang: str, parts: int):
+        self.shard, self.lang, self.parts, self.held = shard, lang, parts, []
+
+    def add(self, texts: pa.Array, counts: np.ndarray, hashes: np.ndarray) -> None:
+        self.held.append((texts, counts, (mix(hashes) % np.uint64(self.parts)).astype(np.int32)))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        texts, counts, part = pa.chunked_array([t for t, _, _ in self.held]).combine_chunks(), np.concatenate([c for _, c, _ in self.held]), np.concatenate([p for _, _, p in self.held])
+        order = np.argsort(part, kind="stable")
+        texts, counts, ends = texts.take(pa.array(order)), counts[order], np.searchsorted(part[order], np.arange(self.parts + 1))
+        rows = [{"part": p, "lang": self.lang, "phrases": zstandard.ZstdCompressor(level=1).compress("\n".join(texts[a:b].to_pylist()).encode()), "counts": _squeezed(counts[a:b])} for p, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())) if b > a]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary())]))
+
+
+def _summed(least: int):
+    """The phrases of one language and part that reach the least number over all shards. No word holds a line end."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts = pa.array([t for x in pdf["phrases"] for t in zstandard.ZstdDecompressor().decompress(x).decode().split("\n")], pa.string())
+        found = pa.table({"phrase": texts, "f": np.concatenate([_loose(x, np.int64) for x in pdf["counts"]])}).group_by("phrase").aggregate([("f", "sum")])
+        found = found.filter(pc.greater_equal(found["f_sum"], least)).to_pandas()
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "phrase": found["phrase"], "f": found["f_sum"]})
 
     return run
 
@@ -273,11 +308,10 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LO
     parts = PARTS + (sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // GROUP)
     pairs = base.select("shard", "lang", "words", "size", "block", "mask").mapInArrow(_pairs(parts), "part int, shard long, lang string, hashes binary, counts binary")
     told = pairs.groupBy("part").applyInPandas(_frequent(least), "shard long, lang string, pairs binary").groupBy("shard", "lang").agg(F.collect_list("pairs").alias("pairs"))
-    walked = base.select("shard", "lang", "words", "size", "block", "mask").join(told, ["shard", "lang"]).mapInArrow(_phrases(longest), "lang string, phrase string, f long")
+    walked = base.select("shard", "lang", "words", "size", "block", "mask").join(told, ["shard", "lang"]).mapInArrow(_phrases(longest, parts), "part int, lang string, phrases binary, counts binary")
     single = base.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("f"))
-    often = F.col("f") >= least
-    counted = [x.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(often) for x in (single, walked)]
-    return written(counted[0].union(counted[1])), sizes
+    single = single.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return written(single.union(walked.groupBy("lang", "part").applyInPandas(_summed(least), "lang string, phrase string, f long"))), sizes
 
 
 def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGEST, first: int = FIRST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -287,6 +321,8 @@ def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGES
     ordered by a, the larger first, then by the bytes of the phrase. Other columns are not looked at, ids neither. Scores
     are divided as decimals of 38 digits, so products past 64 bits are exact.
     """
+    if longest > len(_ODDS):
+        raise ValueError(f"phrases of more than {len(_ODDS)} words are not counted")
     known, sizes = frequent_phrases(documents, least, longest, text_col, lang_col)
     words = F.size(F.split("phrase", " "))
     candidates = known.withColumn("words", words).where(F.col("words") > 1)
