@@ -103,13 +103,14 @@ def page_marker(marker: Column, letter_before: Column) -> Column:
 
 def layout_marker(line: Column) -> Column:
     """struct(kind, label, rest) of a line that opens with a marker two spaces in or more; kinds are tried in this order. Null for other lines."""
+    # The patterns and their order.
     patterns = [
         ("decimal", r"^\s{2,}(\d+(?:\.\d+)+)\.?\s+([A-Z(‘].*)$"),
-        ("paragraph", r"^\s{2,}(\d+)\.\s+(\S.*)$"),
-        ("num", r"^\s{2,}\((\d+)\)\s+(\S.*)$"),
-        ("roman", rf"^\s{{2,}}\(({'|'.join(reversed(SMALL_ROMANS))})\)\s+(\S.*)$"),
-        ("letter", r"^\s{2,}\(([a-z])\)\s+(\S.*)$"),
-        ("dash", r"^\s{2,}([-–—])\s+(\S.*)$"),
+        ("paragraph", r"^\s{2,}(\d+)\.\s+(.*)$"),
+        ("num", r"^\s{2,}\((\d+)\)\s+(.*)$"),
+        ("roman", r"^\s{2,}\((i|ii|iii|iv|v|vi|vii|viii|ix|x|xi|xii)\)\s+(.*)$"),
+        ("letter", r"^\s{2,}\(([a-z])\)\s+(.*)$"),
+        ("dash", r"^\s{2,}(—)\s+(\S.*)$"),
     ]
     return F.coalesce(*(F.when(line.rlike(p), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(line, p, 1).alias("label"), F.regexp_extract(line, p, 2).alias("rest"))) for kind, p in patterns))
 

@@ -89,8 +89,7 @@ def property_table(triples: DataFrame, own: tuple[str, str], kind: str) -> DataF
     return full.select(shortened(F.col("s"), own).alias("name"), text("domains"), text("ranges"), F.left(F.coalesce("comment", F.lit("")), F.lit(COMMENT_LENGTH)).alias("comment"))
 
 
-def external_links(triples: DataFrame, own: tuple[str, str]) -> DataFrame:
-    """(s, p, o) in short where something of the own name space is a part or a match of something outside."""
-    kinds = [f"{RDFS}subClassOf", f"{RDFS}subPropertyOf", f"{OWL}equivalentClass", f"{SKOS}exactMatch", f"{SKOS}closeMatch"]
-    found = triples.where(F.col("p").isin(kinds) & F.startswith("s", F.lit(own[1])) & ~F.startswith("o", F.lit(own[1])))
-    return found.select(shortened(F.col("s"), own).alias("s"), F.regexp_extract("p", "[^#/]+$", 0).alias("p"), shortened(F.col("o"), own).alias("o")).distinct()
+def external_relationships(triples: DataFrame, own: tuple[str, str]) -> DataFrame:
+    """(property, relationship) of properties outside of the own name space that a relationship of the property graph is named for."""
+    found = triples.where((F.col("p") == f"{own[1]}lpgRelationship") & ~F.startswith("s", F.lit(own[1])))
+    return found.select(shortened(F.col("s"), own).alias("property"), F.col("o").alias("relationship")).distinct()

@@ -16,8 +16,6 @@ from ..functions.text import squeezed
 
 # Words, names of acts and patterns of legal English. Of modals with the same start the longer comes first.
 MODALS = ["shall not", "shall", "may not", "may", "should"]
-QUALIFIERS = ["within", "no later than", "after", "exceeding", "at least(?: until)?", "for at least"]
-NUMBERS = [r"\d+", "one", "two", "three", "six"]
 MONTHS = "January February March April May June July August September October November December".split()
 DATE = rf"(\d{{1,2}} (?:{'|'.join(MONTHS)}) \d{{4}})"
 DEFINITION = r"(?s)^‘([^’]+)’(?:,\s*‘[^’]+’)*(?:\s+and\s+‘[^’]+’)?(?:\s+or\s+‘([^’]+)’)?(?:\s+of the [\w ]+?)?(?:,\s*[^‘’,]{3,80},)?\s+means?:?\s*(.*)$"
@@ -35,7 +33,7 @@ APPLIES = r"(Article \d+|Chapter [IVX]+(?: \(Articles \d+ to \d+\))?|This Regula
 LISTED = rf"^((?:Articles?|Chapters?|Annex(?:es)?|Points?|Sections?)\b.*?) from {DATE}"
 INSTITUTIONS = ["THE EUROPEAN PARLIAMENT AND THE COUNCIL OF THE EUROPEAN UNION,", "THE EUROPEAN COMMISSION,", "Having regard"]
 #: (?U): letters, digits and white space of all scripts.
-_DURATION = rf"(?U)\b(?:{'|'.join(QUALIFIERS)})\s+(?:{'|'.join(NUMBERS)})\s+(?:hours?|days?|months?|years?)\b"
+_DURATION = r"(?U)\b(?:within|no later than|after|exceeding|at least(?: until)?|for at least)\s+(?:\d+|one|two|three|six)\s+(?:hours?|days?|months?|years?)\b"
 #: Characters around an event of the same date within which a second one is left out; characters of context.
 NEAR, CONTEXT, APPLY_CONTEXT = 80, 80, 90
 

@@ -190,9 +190,12 @@ def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layout_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rows_of(spark, "line string", ("  1.2. Heading",), ("  1.2 lower",), ("  3. Text",), ("  (4) Text",), ("  (iv) Text",), ("  (b) Text",), ("  – Text",), (" (b) near",))
-    m = text.layout_marker(F.col("line"))
-    return found.select("line", m["kind"].alias("kind"), m["label"].alias("label"), m["rest"].alias("rest"))
+    """Markers of every kind, and lines that are none, rendered from lines of orders."""
+    q, mode = F.col("l_quantity").cast("int"), F.col("l_linestatus")
+    shapes = [F.concat(F.lit("  "), q, F.lit(".1. "), mode), F.concat(F.lit("  "), q, F.lit(". ")), F.concat(F.lit("  ("), q, F.lit(") "), mode), F.concat(F.lit("  (iv) "), F.lower(mode)), F.concat(F.lit("  ("), F.char(97 + q % 26), F.lit(") x")), F.concat(F.lit("  "), F.when(q % 2 == 1, "—").otherwise("–"), F.lit(" "), mode)]
+    line = F.coalesce(F.try_element_at(F.array(*shapes), F.col("l_linenumber").cast("int")), F.lit(" (b) near"))
+    m = text.layout_marker(line)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", m["kind"].alias("kind"), m["label"].alias("label"), m["rest"].alias("rest"))
 
 
 def names_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,8 +360,10 @@ def unknown_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recovered_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = rows_of(spark, "id int, answer string", (1, 'Here: {"a": {"b": "}"}} done'), (2, "nothing"), (3, '{"a": 1} }'), (4, '{broken {"x": 2}'), (5, None))
-    return answers.select("id", packages.recovered("answer").alias("json"))
+    """Objects within answers that go on after them in four ways."""
+    after = F.element_at(F.array(*map(F.lit, (" see [2]", ' then {"b": 2}', " } more", ", and so on"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    answers = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('Answer: {broken {"id": '), "doc_id", F.lit(', "t": "}"}'), after).alias("answer"))
+    return answers.select("doc_id", packages.recovered("answer").alias("json"))
 
 
 def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,7 +399,11 @@ def concept_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def external_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.external_links(_triples(spark), OWN)
+    """Relationship names: nations of even regions are properties of the own name space, others of another vocabulary."""
+    space = F.when(F.col("n_regionkey") % 2 == 0, OWN[1]).otherwise("http://www.w3.org/ns/prov#")
+    none = F.lit(None).cast("string")
+    triples = table(spark, sf_dir, "nation").select(F.concat(space, "n_name").alias("s"), F.lit(f"{OWN[1]}lpgRelationship").alias("p"), F.concat(F.lit("IN_"), "n_name").alias("o"), none.alias("lang"))
+    return ontology.external_relationships(triples, OWN)
 
 
 def _values(columns: str, *rows: tuple) -> str:
@@ -433,7 +442,9 @@ ORACLE_SQL: dict[str, str] = {
     "amend_title": _values("doc_id INTEGER, act VARCHAR", (1, "300/2008"), (1, "167/2013"), (1, "2014/90/EU")),
     "roman_values": "WITH t(i) AS (SELECT unnest(range(1, 90))) SELECT ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX'][i // 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][i % 10 + 1] AS numeral, CAST(i AS INTEGER) AS value FROM t UNION ALL VALUES ('XC', NULL), ('a', NULL), (NULL, NULL)",
     "markers": _values("marker VARCHAR, before VARCHAR, kind VARCHAR, number VARCHAR, item VARCHAR", ("(1)", None, "num", "1", "num"), ("(i)", None, "roman", "i", "letter"), ("(i)", "h", "letter", "i", "letter"), ("(ii)", None, "roman", "ii", "roman"), ("‘(b)", None, "letter", "b", "letter"), ("1.2.", None, "decimal", "1.2", ""), ("3.", None, "paragraph", "3", "num"), ("–", None, "dash", "9", "num"), ("x)", None, "other", "x", "letter")),
-    "layout_markers": _values("line VARCHAR, kind VARCHAR, label VARCHAR, rest VARCHAR", ("  1.2. Heading", "decimal", "1.2", "Heading"), ("  1.2 lower", None, None, None), ("  3. Text", "paragraph", "3", "Text"), ("  (4) Text", "num", "4", "Text"), ("  (iv) Text", "roman", "iv", "Text"), ("  (b) Text", "letter", "b", "Text"), ("  – Text", "dash", "–", "Text"), (" (b) near", None, None, None)),
+    "layout_markers": """SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'decimal' WHEN 2 THEN 'paragraph' WHEN 3 THEN 'num' WHEN 4 THEN 'roman' WHEN 5 THEN CASE WHEN q % 26 IN (8, 21, 23) THEN 'roman' ELSE 'letter' END WHEN 6 THEN CASE WHEN q % 2 = 1 THEN 'dash' END END AS kind,
+        CASE l_linenumber WHEN 1 THEN q || '.1' WHEN 2 THEN CAST(q AS VARCHAR) WHEN 3 THEN CAST(q AS VARCHAR) WHEN 4 THEN 'iv' WHEN 5 THEN chr(97 + q % 26) WHEN 6 THEN CASE WHEN q % 2 = 1 THEN '—' END END AS label,
+        CASE l_linenumber WHEN 1 THEN l_linestatus WHEN 2 THEN '' WHEN 3 THEN l_linestatus WHEN 4 THEN lower(l_linestatus) WHEN 5 THEN 'x' WHEN 6 THEN CASE WHEN q % 2 = 1 THEN l_linestatus END END AS rest FROM (SELECT *, CAST(l_quantity AS INTEGER) AS q FROM lineitem)""",
     "names_and_ids": _values("path VARCHAR, format VARCHAR, label VARCHAR, file VARCHAR, act VARCHAR, version VARCHAR, told VARCHAR", *((p, f, l, n, "12/2020", f"{p}:v-ca978112ca1bbdca", f"bad: {p}") for p, f, l, n in (("/a/B.PDF", "pdf", "Risk Level", "_a_B.PDF.json"), ("b.htm", "html", "X", "b.htm.json"), ("c.fmx", "fmx", "A B C", "c.fmx.json"), ("d.txt", None, "", "d.txt.json"), ("noname", None, None, "noname.json")))),
     "layout_lines": _values("doc_id INTEGER, page_no INTEGER, line_no INTEGER, line VARCHAR", (0, 0, 2, "Title of the act"), (0, 0, 3, "It refers (1) to law and point (2) too."), *((0, 1, n, x) for n, x in ((1, "   (3) starts a list"), (2, "   (5) no note"), (3, "Article 1      Annex II"), (4, "  Article 2     -"), (5, "  Articles 3 and 4     Article 7(1)")))),
     "correlations": _values("doc_id INTEGER, page_no INTEGER, line_no INTEGER, repealed VARCHAR, this_act VARCHAR", (0, 1, 4, "Article 2", None), (0, 1, 5, "Articles 3 and 4", "Article 7(1)")),
@@ -453,11 +464,11 @@ ORACLE_SQL: dict[str, str] = {
     "unit_mismatches": _values("package_id VARCHAR, message VARCHAR", ("bad", "provisions must include exactly the selected unit nodes"), ("torn", "document.id does not match the parsed source")),
     "catalog_distinct": _values("kind VARCHAR, item VARCHAR, item_id VARCHAR, first INTEGER", ("roles", '{"id": "r1", "label": "x"}', "r1", 1), ("roles", '{"id": "r2"}', "r2", 1), ("questions", '{"id": "q1"}', "q1", 1), ("roles", '{"id": "r1", "label": "y"}', "r1", 2), ("topics", '{"id": "t"}', "t", 2), ("definitions", '{"termId": "d"}', "d", 2)),
     "unknown_topics": _values("topic_id VARCHAR, label VARCHAR", ("kg:topic.a-b", "A B"), ("x:topic.new", "New")),
-    "recovered_packages": _values("id INTEGER, json VARCHAR", (1, '{"a": {"b": "}"}}'), (2, None), (3, None), (4, '{"x": 2}'), (5, None)),
+    "recovered_packages": """SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN '{"id": ' || doc_id || ', "t": "}"}' END AS json FROM documents""",
     "declared": _values("doc_id INTEGER, message VARCHAR", (2, "canonical address differs from the declared one"), (2, "source title differs from the declared one")),
     "class_tree": _values("place VARCHAR, depth INTEGER, name VARCHAR, label VARCHAR", ("rk:A", 0, "rk:A", "Aye"), ("rk:D", 0, "rk:D", ""), ("rk:A > rk:B", 1, "rk:B", "Be"), ("rk:D > rk:C", 1, "rk:C", ""), ("rk:A > rk:B > rk:C", 2, "rk:C", "")),
     "property_tables": _values("name VARCHAR, domains VARCHAR, ranges VARCHAR, comment VARCHAR", ("rk:p", "rk:A, rk:B", "xsd:date", "one two/three")),
     "concept_schemes": _values("scheme VARCHAR, concept VARCHAR, notation VARCHAR, label VARCHAR, note VARCHAR, rank INTEGER", ("rk:s", "rk:c2", "1", "", "note", 1), ("rk:s", "rk:c1", "2", "", "", 2)),
-    "external_vocabulary": _values("s VARCHAR, p VARCHAR, o VARCHAR", ("rk:D", "subClassOf", "prov:Entity")),
+    "external_vocabulary": "SELECT 'prov:' || n_name AS property, 'IN_' || n_name AS relationship FROM nation WHERE n_regionkey % 2 = 1",
 }
 QUERIES: dict[str, Query] = {name: globals()[name] for name in ORACLE_SQL}

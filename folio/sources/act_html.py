@@ -285,7 +285,7 @@ def act_nodes(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
     parents = rows.select("doc_id", F.col("seq").alias("parent"), F.col("node_id").alias("parent_id"))
     ptype = F.when(k == "group", "paragraph").when(k != "item", k).when(F.col("defining") & (F.col("marker") == "num"), "definition").when(F.col("marker") == "paragraph", "paragraph").otherwise("point")
     text = F.when(k == "paragraph", F.regexp_replace("text", r"^\d+\.\s*", "")).otherwise(F.col("text"))
-    return rows.join(parents, ["doc_id", "parent"], "left").select("doc_id", "node_id", "seq", ptype.alias("ptype"), n.alias("local_id"), "citation", "parent_id", "heading", text.alias("text"), ~k.isin("preamble", "recital").alias("is_normative"), "marker", "copy")
+    return rows.join(parents, ["doc_id", "parent"], "left").select("doc_id", "node_id", "seq", ptype.alias("ptype"), n.alias("local_id"), "citation", "parent_id", "heading", text.alias("text"), (~k.isin("preamble", "recital")).alias("is_normative"), "marker", "copy")
 
 
 def parse_findings(found: DataFrame, nodes: DataFrame) -> DataFrame:
