@@ -48,7 +48,8 @@ _IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 _SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>""", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+#: One attribute, name and value; what a value or a longer name holds is never taken for another.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -144,7 +145,9 @@ class Page:
                 return
 
     def _node(self, parent: int, name: str, attributes: str) -> int:
-        found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
+        found: dict[str, str] = {}
+        for k, v in _ATTRIBUTE.findall(attributes):
+            found.setdefault(k.lower(), v.strip("\"'"))
         classes = found.get("class", "")
         tokens = [{p.lower() for p in _PART.findall(t)} for t in f"{classes} {found.get('id', '')}".split()]
         own = False

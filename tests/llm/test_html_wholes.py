@@ -15,6 +15,11 @@ WANT = TEXT.strip()
         f"<body><div class='page with-sidebar'>{SMALL}<div><p>{TEXT}</div><div class=sidebar>aside</div></div>",
         f"<body class=no-comments><div class=has-header><p>{TEXT}</div><div id=comments><p>me too</div>",
         f"<body><form action=x>{SMALL}<div><p>{TEXT}</div></form>",
+        f"<body>{SMALL}<div style='overflow:hidden'><p>{TEXT}</div>",
+        f"<body>{SMALL}<div><p data-hidden='0'>{TEXT}</div>",
+        f"<body>{SMALL}<div data-id='comments' data-class=menu><p>{TEXT}</div>",
+        f"<body>{SMALL}<div><p title='role=dialog here' alt=\"class='menu' hidden\">{TEXT}</div>",
+        f"<body>{SMALL}<div><p>{TEXT}<p hidden>x<p HIDDEN=''>y<p aria-hidden = 'true'>z</div>",
         f"<body><div id=menu>{SMALL}<div><p>{TEXT}</div></div>",
     ],
 )
