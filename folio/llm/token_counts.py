@@ -156,14 +156,15 @@ def edited_token_counts(documents: DataFrame, edits: DataFrame, id_col: str = "d
     zero = F.lit(0).cast("long")
     many = documents.select(F.col(id_col).cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("c")).where(F.col("c") > MANY)
     many = written(many.select("doc_id", F.ceil(F.col("c") / MANY).alias("parts")))
-    part = zero
+    docs = docs.withColumn("part", zero)
     if (found := many.count()):
         few = F.broadcast(many) if found <= BROADCAST_IDS else many
-        docs = docs.join(few, "doc_id", "left")
-        part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("text", F.rand(3)), "parts")).otherwise(zero)
+        # Rows of such an id are numbered once and written, so a task that is run again deals them alike.
+        hot = written(docs.drop("part").join(few, "doc_id").withColumn("number", F.monotonically_increasing_id()))
+        docs = docs.join(few, "doc_id", "left_anti").unionByName(hot.select("doc_id", "text", F.pmod(F.xxhash64("number"), "parts").alias("part")))
         then = then.join(few, "doc_id", "left").withColumn("part", F.explode(F.sequence(zero, F.coalesce(F.col("parts") - 1, zero)))).drop("parts")
     # The edits of an id come first and are held; then each of its texts passes.
-    rows = then.union(docs.select("doc_id", part.alias("part"), F.lit(1).alias("kind"), zero, zero, zero, "text"))
+    rows = then.union(docs.select("doc_id", "part", F.lit(1).alias("kind"), zero, zero, zero, "text"))
     rows = rows.repartition("doc_id", "part").sortWithinPartitions("doc_id", "part", "kind", "seq", "start", "length", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
