@@ -31,7 +31,7 @@ from .common import ragged, written
 #: Outputs: words (the end of a text among them), classes of one ending each, and classes of hashed endings.
 WORDS, ENDINGS, HASHED = 224, 128, 32
 OUTPUTS = WORDS + ENDINGS + HASHED
-WIDTH, CONTEXT = 32, 3
+WIDTH, CONTEXT = 32, 2
 #: Passes over training documents: each over those whose hash leaves no rest; the last is over all.
 ROUNDS = (8, 1)
 BATCH, NOISE, SHARE, RATE = 1024, 32, 16.0, 0.15
@@ -223,7 +223,7 @@ def contexts(output: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _scattered(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """Sums of rows by their places."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.int16), kind="stable")  # sorted by digits, as places are few
     at = at[order]
     starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     out = np.zeros((size, rows.shape[1]), np.float32)
