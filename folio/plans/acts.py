@@ -372,30 +372,6 @@ def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OWN = ("rk:", "https://example.org/o#")
-_RDF, _RDFS, _OWL, _SKOS = ontology.RDF, ontology.RDFS, ontology.OWL, ontology.SKOS
-TRIPLES = [
-    *((f"{OWN[1]}{c}", f"{_RDF}type", f"{_OWL}Class", None) for c in ("A", "B", "C", "D")), ("http://x#E", f"{_RDF}type", f"{_OWL}Class", None),
-    *((f"{OWN[1]}{a}", f"{_RDFS}subClassOf", b, None) for a, b in (("B", f"{OWN[1]}A"), ("C", f"{OWN[1]}B"), ("C", f"{OWN[1]}D"), ("D", "http://www.w3.org/ns/prov#Entity"))),
-    (f"{OWN[1]}A", f"{_RDFS}label", "Ah", "fr"), (f"{OWN[1]}A", f"{_RDFS}label", "Aye", "en"), (f"{OWN[1]}B", f"{_SKOS}prefLabel", "Be", "de"),
-    (f"{OWN[1]}p", f"{_RDF}type", f"{_OWL}ObjectProperty", None), (f"{OWN[1]}p", f"{_RDFS}domain", f"{OWN[1]}B", None), (f"{OWN[1]}p", f"{_RDFS}domain", f"{OWN[1]}A", None), (f"{OWN[1]}p", f"{_RDFS}range", "http://www.w3.org/2001/XMLSchema#date", None), (f"{OWN[1]}p", f"{_RDFS}comment", "one\ntwo|three", "en"),
-    (f"{OWN[1]}s", f"{_RDF}type", f"{_SKOS}ConceptScheme", None), *((f"{OWN[1]}{c}", f"{_SKOS}inScheme", f"{OWN[1]}s", None) for c in ("c1", "c2")), (f"{OWN[1]}c1", f"{_SKOS}notation", "2", None), (f"{OWN[1]}c2", f"{_SKOS}notation", "1", None), (f"{OWN[1]}c2", f"{_SKOS}definition", "def", "en"), (f"{OWN[1]}c2", f"{_SKOS}scopeNote", "note", "en"),
-]
-
-
-def _triples(spark: SparkSession) -> DataFrame:
-    return rows_of(spark, "s string, p string, o string, lang string", *TRIPLES)
-
-
-def class_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.class_tree(_triples(spark), OWN[1], OWN)
-
-
-def property_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.property_table(_triples(spark), OWN, "ObjectProperty")
-
-
-def concept_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.schemes(_triples(spark), OWN, [f"{_SKOS}ConceptScheme"])
 
 
 def external_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,9 +442,6 @@ ORACLE_SQL: dict[str, str] = {
     "unknown_topics": _values("topic_id VARCHAR, label VARCHAR", ("kg:topic.a-b", "A B"), ("x:topic.new", "New")),
     "recovered_packages": """SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN '{"id": ' || doc_id || ', "t": "}"}' END AS json FROM documents""",
     "declared": _values("doc_id INTEGER, message VARCHAR", (2, "canonical address differs from the declared one"), (2, "source title differs from the declared one")),
-    "class_tree": _values("place VARCHAR, depth INTEGER, name VARCHAR, label VARCHAR", ("rk:A", 0, "rk:A", "Aye"), ("rk:D", 0, "rk:D", ""), ("rk:A > rk:B", 1, "rk:B", "Be"), ("rk:D > rk:C", 1, "rk:C", ""), ("rk:A > rk:B > rk:C", 2, "rk:C", "")),
-    "property_tables": _values("name VARCHAR, domains VARCHAR, ranges VARCHAR, comment VARCHAR", ("rk:p", "rk:A, rk:B", "xsd:date", "one two/three")),
-    "concept_schemes": _values("scheme VARCHAR, concept VARCHAR, notation VARCHAR, label VARCHAR, note VARCHAR, rank INTEGER", ("rk:s", "rk:c2", "1", "", "note", 1), ("rk:s", "rk:c1", "2", "", "", 2)),
     "external_vocabulary": "SELECT 'prov:' || n_name AS property, 'IN_' || n_name AS relationship FROM nation WHERE n_regionkey % 2 = 1",
 }
 QUERIES: dict[str, Query] = {name: globals()[name] for name in ORACLE_SQL}

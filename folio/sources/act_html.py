@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.text import page_marker
 
 # Forms of ids and headings of acts in HTML.
@@ -215,7 +216,7 @@ def _read(source: str) -> tuple[list[dict], bool]:
 
 
 def blocks(files: DataFrame) -> DataFrame:
-    """The blocks of files (doc_id, content binary or text) in the order in which their ids are given. Null content counts as empty."""
+    """The blocks of files (doc_id, content binary or text) in the order in which their ids are given, written once, since many joins read them. Null content counts as empty; doc_id is unique."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, numbers = pa.string(), pa.int32()
@@ -227,7 +228,7 @@ def blocks(files: DataFrame) -> DataFrame:
                 columns = [pa.array([r[name] for r in rows], kind) for name, kind in kinds.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(rows), whole), *columns, pa.array([recovered] * len(rows))], ["doc_id", *kinds, "recovered"])
 
-    return files.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInArrow(run, _BLOCK)
+    return cut(files.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInArrow(run, _BLOCK))
 
 
 def _marked(found: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.text import item_marker, number
 
 # Elements of an act whose text is not their parent's; elements that tell a number.
@@ -55,7 +56,7 @@ def _read(doc_id: str, source: bytes | None) -> list[tuple]:
 
 
 def elements(files: DataFrame) -> DataFrame:
-    """The elements of files (doc_id, content binary or text). Places of texts (text_at, tail_at) order all texts of a file."""
+    """The elements of files (doc_id, content binary or text), written once, since many joins read them. doc_id is unique. Places of texts (text_at, tail_at) order all texts of a file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int32(), *[pa.string()] * 3, pa.int32(), pa.string(), pa.int32(), _UP, pa.string()]
@@ -64,7 +65,7 @@ def elements(files: DataFrame) -> DataFrame:
                 rows = _read(doc, content)
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["doc_id", "seq", "tag", "identifier", "text", "text_at", "tail", "tail_at", "up", "error"])
 
-    return files.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInArrow(run, _ELEMENT)
+    return cut(files.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInArrow(run, _ELEMENT))
 
 
 def _joined_text(pieces: DataFrame, keys: list[str]) -> DataFrame:
