@@ -128,3 +128,15 @@ def entity_nodes(rows: DataFrame, annexes: DataFrame) -> DataFrame:
     second = middle.select("doc_id", "sub_id", F.lit("subsector"), "local_id", "sub_cite", "sector_id", text, empty, place(F.col("sub_at"), zero))
     third = low.select("doc_id", F.concat(parent, F.lit(".ent_"), "number"), F.lit("entity_type"), F.col("number"), F.concat(cite, F.lit(", entity "), "number"), parent, empty, text, place(F.col("sub_at"), F.col("ent_at")))
     return first.union(second).union(third)
+
+
+def annexes_of(nodes: DataFrame) -> DataFrame:
+    """(doc_id, annex, node_id, citation): the annexes that tables may belong to, of acts of which one annex at least is a table."""
+    acts = nodes.where("ptype = 'table_annex'").select("doc_id").distinct()
+    annex = F.regexp_extract("node_id", r"^[^:]*:anx_([IVX]+)$", 1)
+    return nodes.join(acts, "doc_id", "left_semi").select("doc_id", annex.alias("annex"), "node_id", "citation").where("annex <> ''")
+
+
+def nodes(words: DataFrame, rules: DataFrame, pages: DataFrame, parsed: DataFrame) -> DataFrame:
+    """The nodes of entity_nodes of all tables of acts, parsed being their nodes so far."""
+    return entity_nodes(entity_rows(table_lines(words, rules, pages)), annexes_of(parsed))
