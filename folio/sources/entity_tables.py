@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.text import dehyphenated
 
 # Words of the running header, words of a page that may name its annex, the word that heads a table's second
@@ -55,16 +56,17 @@ def table_lines(words: DataFrame, rules: DataFrame, pages: DataFrame) -> DataFra
     words = words.where("doc_id is not null and page_no is not null and x0 is not null and top is not null and text is not null")
     words = words.select(*_PAGE, "seq", F.col("x0").cast("double").alias("x0"), F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom"), "text")
     body = words.join(_annexes(words), _PAGE).join(pages.select(*_PAGE, "width"), _PAGE).where(~((F.col("x0") > F.col("width") * INNER) & F.col("text").rlike(HEADER_WORD)))
-    heads = body.where(F.col("text") == COLUMN_HEAD).groupBy(*_PAGE).agg(F.min_by("bottom", "seq").alias("start"))
-    body = body.join(heads, _PAGE, "left").where(F.col("top") > F.coalesce("start", F.lit(0.0)))
-    marks = body.groupBy(*_PAGE).agg(F.min(F.when(F.col("text").rlike(r"^\([a-z]\)$"), F.col("x0"))).alias("letter"), F.min(F.when(F.col("text") == "—", F.col("x0"))).alias("dash"))
+    page = Window.partitionBy(*_PAGE)
+    start = F.min_by(F.when(F.col("text") == COLUMN_HEAD, F.col("bottom")), F.when(F.col("text") == COLUMN_HEAD, F.col("seq"))).over(page)
+    body = body.withColumn("start", start).where(F.col("top") > F.coalesce("start", F.lit(0.0)))
+    body = body.withColumn("letter", F.min(F.when(F.col("text").rlike(r"^\([a-z]\)$"), F.col("x0"))).over(page)).withColumn("dash", F.min(F.when(F.col("text") == "—", F.col("x0"))).over(page))
     ruled = F.size("rules") >= 3
     third = F.when(ruled, F.get("rules", F.lit(2)) - BEFORE_RULE).otherwise(F.col("dash") - BEFORE_MARKER)
     second = F.when(ruled, F.get("rules", F.lit(1)) - BEFORE_RULE).otherwise(F.coalesce(F.col("letter") - BEFORE_MARKER, F.col("third") - SUBSECTOR_WIDTH))
-    bounds = marks.join(_merged_rules(rules, pages), _PAGE, "left").withColumn("third", third).withColumn("second", second).where("third is not null").select(*_PAGE, "second", "third")
+    body = body.join(_merged_rules(rules, pages), _PAGE, "left").withColumn("third", third).withColumn("second", second).where("third is not null")
     x = F.col("x0")
     columns = {"sector": (x >= 0) & (x < F.col("second")), "subsector": (x >= F.col("second")) & (x < F.col("third")), "entity": x >= F.col("third")}
-    lines = body.join(bounds, _PAGE).groupBy("doc_id", "annex", "page_no", F.bround("top").alias("y")).agg(*(_column(c).alias(name) for name, c in columns.items()))
+    lines = body.groupBy("doc_id", "annex", "page_no", F.bround("top").alias("y")).agg(*(_column(c).alias(name) for name, c in columns.items()))
     note = F.max(F.col("sector").rlike(r"(?U)^\(\d+\)")).over(Window.partitionBy(*_PAGE).orderBy("y").rowsBetween(Window.unboundedPreceding, 0))
     return lines.withColumn("note", note).where("not note").drop("note")
 
@@ -86,6 +88,7 @@ def entity_rows(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("plain", F.max(told & (F.col("lettered") == 0)).over(in_sector).cast("int")).withColumn("sub_at", F.col("lettered") + F.col("plain"))
     opens_entity = told & (F.startswith("entity", F.lit("—")) | (F.count_if(told).over(in_sub) == 1))
     rows = rows.withColumn("opens", opens_entity).withColumn("ent_at", F.count_if(F.col("opens")).over(in_sub))
+    rows = cut(rows)  # read three times below
 
     def told_by(kind: str, keys: list[str], number: Column, piece: Column) -> DataFrame:
         pieces = F.array_sort(F.collect_list(F.when(piece != "", F.struct("page_no", "y", piece.alias("piece")))))
@@ -139,4 +142,4 @@ def annexes_of(nodes: DataFrame) -> DataFrame:
 
 def nodes(words: DataFrame, rules: DataFrame, pages: DataFrame, parsed: DataFrame) -> DataFrame:
     """The nodes of entity_nodes of all tables of acts, parsed being their nodes so far."""
-    return entity_nodes(entity_rows(table_lines(words, rules, pages)), annexes_of(parsed))
+    return entity_nodes(cut(entity_rows(table_lines(words, rules, pages))), annexes_of(parsed))
