@@ -445,6 +445,6 @@ ORACLE_SQL: dict[str, str] = {
     "external_vocabulary": "SELECT 'prov:' || n_name AS property, 'IN_' || n_name AS relationship FROM nation WHERE n_regionkey % 2 = 1",
 }
 #: Small texts with known answers, which tests hold; the queries of these names read texts rendered from the tables.
-_SMALL = "definitions external_refs app_dates amend_title roman_values markers names_and_ids correlations catalog_distinct unknown_topics declared".split()
+_SMALL = "definitions external_refs app_dates amend_title roman_values markers names_and_ids correlations catalog_distinct unknown_topics declared condition_eval condition_leaves operator_matrix question_cycles".split()
 SMALL: dict[str, tuple[Query, str]] = {name: (globals()[name], ORACLE_SQL.pop(name)) for name in _SMALL}
 QUERIES: dict[str, Query] = {name: globals()[name] for name in ORACLE_SQL}

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import integrity, packages, signals
+from ..operators import conditions, integrity, packages, signals
 from ..sources import layout
 from ..sources.tables import table
 
@@ -100,6 +100,40 @@ def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.declaration_errors(pages.withColumnRenamed("page_id", "doc_id"))
 
 
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _told('\x01"all": [\x01"q": "n", "op": "gte", "value": {p_size}\x02, \x01"any": [\x01"q": "b", "op": "eq", "value": "{p_brand}"\x02, \x01"not": \x01"q": "open", "op": "is_true"\x02\x02]\x02]\x02')
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("rule_id"), F.translate(told, "\x01\x02", "{}").alias("condition"))
+
+
+def condition_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions of parts for the customers that ordered them; each customer answers two of three questions."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    pairs = orders.select(F.col("o_custkey").cast("string").alias("assessment_id"), F.col("l_partkey").cast("string").alias("rule_id")).distinct()
+    answers = F.posexplode(F.array((F.col("c_nationkey") * 2).cast("string"), F.concat(F.lit('"Brand#'), F.col("c_nationkey") + 1, F.lit('"')))).alias("at", "answer")
+    answers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("assessment_id"), answers).select("assessment_id", F.when(F.col("at") == 0, "n").otherwise("b").alias("q"), "answer")
+    return conditions.evaluated(_rules(spark, sf_dir), pairs, answers)
+
+
+def condition_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conditions.leaves(_rules(spark, sf_dir))
+
+
+def operator_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part asks with one of three operators for the question of its size, which takes one of three kinds of answers."""
+    parts = table(spark, sf_dir, "part")
+    of = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (n % 3 + 1).cast("int"))
+    rules = parts.select(F.col("p_partkey").cast("string").alias("rule_id"), F.concat(F.lit('{"q": "s'), "p_size", F.lit('", "op": "'), of(F.col("p_partkey"), "gte", "is_true", "contains"), F.lit('"}')).alias("condition"))
+    return conditions.operator_errors(rules, parts.select(F.concat(F.lit("s"), "p_size").alias("q"), of(F.col("p_size"), "number", "boolean", "multi_choice").alias("answer_type")).distinct())
+
+
+def question_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an order are questions that need the next one; of every third order the last needs the first."""
+    by_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(by_order).alias("k"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("n"))
+    needs = F.when(F.col("k") < F.col("n"), F.col("k") + 1).when(F.col("l_orderkey") % 3 == 0, 1)
+    return conditions.cyclic_questions(lines.select(F.col("l_orderkey").alias("group_id"), F.col("k").cast("string").alias("q"), needs.cast("string").alias("needs")).where("needs is not null"))
+
+
 ORACLE_SQL: dict[str, str] = {
     "definitions": """SELECT 'X Art. 3(' || p_partkey || ')' AS citation, p_name AS term, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS alias,
         CASE WHEN p_partkey % 3 = 0 THEN 'Article ' || p_size || ' of Regulation (EU) 2019/' || p_partkey END AS by_reference FROM part WHERE p_partkey % 3 < 2""",
@@ -122,6 +156,11 @@ ORACLE_SQL: dict[str, str] = {
     "catalog_distinct": """SELECT 'roles' AS kind, '{"id": "r' || o_custkey || '", "label": "x"}' AS item, 'r' || o_custkey AS item_id, min(o_orderkey) AS first FROM orders GROUP BY o_custkey
         UNION ALL SELECT 'questions', '{"id": "' || o_orderpriority || '"}', o_orderpriority, min(o_orderkey) FROM orders GROUP BY o_orderpriority UNION ALL SELECT 'definitions', '{"termId": "d"}', 'd', min(o_orderkey) FROM orders HAVING count(*) > 0""",
     "unknown_topics": "SELECT DISTINCT 'kg:topic.' || replace(lower(p_brand), '#', '-') || '-' || p_size AS topic_id, replace(p_brand, '#', ' ') || ' ' || p_size AS label FROM part WHERE p_size % 4 = 3",
+    "condition_eval": """WITH p AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+        SELECT CAST(c AS VARCHAR) AS assessment_id, CAST(p AS VARCHAR) AS rule_id, CASE WHEN c_nationkey * 2 < p_size THEN false WHEN p_brand = 'Brand#' || (c_nationkey + 1) THEN true END AS holds FROM p JOIN customer ON c = c_custkey JOIN part ON p = p_partkey""",
+    "condition_leaves": """SELECT CAST(p_partkey AS VARCHAR) AS rule_id, CAST(i * 2 - 1 AS INTEGER) AS place, ['n', 'b', 'open'][i] AS q, ['gte', 'eq', 'is_true'][i] AS op, [CAST(p_size AS VARCHAR), '"' || p_brand || '"', NULL][i] AS value FROM part, (SELECT unnest([1, 2, 3]) AS i)""",
+    "operator_matrix": """SELECT CAST(p_partkey AS VARCHAR) AS rule_id, 0 AS place, 's' || p_size AS q, ['gte', 'is_true', 'contains'][p_partkey % 3 + 1] AS op, ['number', 'boolean', 'multi_choice'][p_size % 3 + 1] AS answer_type FROM part WHERE p_partkey % 3 <> p_size % 3""",
+    "question_cycles": "SELECT l_orderkey AS group_id, CAST(row_number() OVER (PARTITION BY l_orderkey) AS VARCHAR) AS q FROM lineitem WHERE l_orderkey % 3 = 0",
     "declared": """SELECT page_id AS doc_id, 'canonical address differs from the declared one' AS message FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT page_id, 'source title differs from the declared one' FROM pages WHERE page_id % 4 = 1""",
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in ORACLE_SQL}
