@@ -117,3 +117,27 @@ def gate(documents: DataFrame, findings: DataFrame, override: bool = False) -> D
 def storable(documents: DataFrame, licensed: bool = False) -> DataFrame:
     """documents with `store_text`: full texts of licensed types are stored only where that is allowed."""
     return documents.withColumn("store_text", F.lit(licensed) | ~F.col("doc_type").isin(LICENSED))
+
+
+def report(nodes: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row a document: doc_id, errors, articles_found, article_gaps, annexes_found, annex_gaps, recitals_found, recital_gaps, sequence_errors, articles_without_heading.
+
+    errors: doc_id, place, message of what the parser found, in order; `No articles found` comes after them. Breaks are told in the order of their parents, of
+    one parent letters before paragraphs before sections. A document of which there are only errors has empty lists besides. Each list is one document's.
+    """
+    documents = nodes.select("doc_id").union(errors.select("doc_id")).distinct()
+    told = errors.select("doc_id", F.struct(F.lit(0).alias("late"), F.col("place").cast("long").alias("place"), "message").alias("e"))
+    told = told.union(documents.join(nodes.where("ptype = 'article'"), "doc_id", "left_anti").select("doc_id", F.struct(F.lit(1).alias("late"), F.lit(0).cast("long").alias("place"), F.lit("No articles found").alias("message"))))
+    listed = lambda rows, name, item: rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda x: x[item]).alias(name))
+    kinds = kind_gaps(nodes).groupBy("doc_id").agg(*(F.max(F.when(F.col("kind") == kind, F.col(c))).alias(name) for kind, many, one in (("article", "articles", "article"), ("annex", "annexes", "annex"), ("recital", "recitals", "recital")) for c, name in (("n_found", f"{many}_found"), ("gaps", f"{one}_gaps"))))
+    words = F.concat(F.lit("letters ("), F.array_join("found", ")("), F.lit(")"))
+    numbers = lambda name: F.concat(F.lit(f"{name} ["), F.array_join(F.col("found").cast("array<string>"), ", "), F.lit("]"))
+    breaks = [(0, letter_breaks(nodes), words), (1, paragraph_breaks(nodes), numbers("paragraphs")), (2, section_breaks(nodes), numbers("sections"))]
+    broken = [rows.select("doc_id", F.col("parent_id").alias("node_id"), F.lit(rank).alias("rank"), said.alias("said")) for rank, rows, said in breaks]
+    broken = broken[0].union(broken[1]).union(broken[2]).join(nodes.select("doc_id", "node_id", "seq", "citation"), ["doc_id", "node_id"])
+    sequence = broken.select("doc_id", F.struct("seq", "node_id", "rank", F.concat("citation", F.lit(": "), "said").alias("message")).alias("e"))
+    bare = nodes.where("ptype = 'article' and coalesce(heading, '') = ''").select("doc_id", F.struct("seq", "node_id", "citation").alias("e"))
+    found = documents.join(listed(told, "errors", "message"), "doc_id", "left").join(kinds, "doc_id", "left").join(listed(sequence, "sequence_errors", "message"), "doc_id", "left").join(listed(bare, "articles_without_heading", "citation"), "doc_id", "left")
+    none, counts = F.array(), ["articles_found", "annexes_found", "recitals_found"]
+    gaps, lists = ["article_gaps", "annex_gaps", "recital_gaps"], ["errors", "sequence_errors", "articles_without_heading"]
+    return found.select("doc_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts), *(F.coalesce(c, none.cast("array<int>")).alias(c) for c in gaps), *(F.coalesce(c, none.cast("array<string>")).alias(c) for c in lists))
