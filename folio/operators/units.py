@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,26 +72,44 @@ def unit_pack(nodes: DataFrame, max_chars: int = 1500, bootstrap: Sequence[str]
     """
     if max_chars < 1:
         raise ValueError("max_chars must be positive")
-    first = set(bootstrap)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq", "node_id"])
-        chars, children = dict(zip(pdf["node_id"], pdf["n_chars"])), {}
-        for node, parent in zip(pdf["node_id"], pdf["parent_id"]):
-            if not pd.isna(parent):
+    first, names = set(bootstrap), [c.split()[0] for c in _PARTS.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64()]
+
+    def packed(article: int, rows: list[tuple]) -> Iterator[tuple]:
+        chars: dict[str, int] = {}
+        children: dict[str, list[str]] = {}
+        for local_id, heading, node, parent, n in rows:
+            chars[node] = n
+            if parent is not None:
                 children.setdefault(parent, []).append(node)
-        out: list[tuple] = []
-        for root in pdf[pdf["parent_id"].isna()].itertuples():
-            early = root.local_id in first or "definition" in (root.heading or "").casefold()
-            parts = partition_subtree(root.node_id, children, chars, max_chars)
+        for local_id, heading, root, parent, _ in rows:
+            if parent is not None:
+                continue
+            phase = "bootstrap" if local_id in first or "definition" in (heading or "").casefold() else "main"
+            parts = partition_subtree(root, children, chars, max_chars)
             for number, ids in enumerate(parts, 1):
-                member = hashlib.sha256("\0".join(ids).encode()).hexdigest()[:8]
-                unit, part = (root.node_id, None) if len(parts) == 1 else (f"{root.node_id}#part-{number:02d}-{member}", number)
-                out += [(root.article_id, unit, part, "bootstrap" if early else "main", i, node, chars[node]) for i, node in enumerate(ids)]
-        found = pd.DataFrame(out, columns=[c.split()[0] for c in _PARTS.split(", ")])
-        return found.astype({"part": "Int32"})
-
-    return nodes.groupBy("article_id").applyInPandas(run, _PARTS)
+                member = hashlib.sha256("\0".join(ids).encode()).hexdigest()[:8] if len(parts) > 1 else None
+                unit, part = (root, None) if len(parts) == 1 else (f"{root}#part-{number:02d}-{member}", number)
+                for i, node in enumerate(ids):
+                    yield article, unit, part, phase, i, node, chars[node]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        article, rows, out = None, [], []
+        as_batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names)
+        for batch in batches:
+            for own, *row in zip(*(batch.column(c).to_pylist() for c in ("article_id", "local_id", "heading", "node_id", "parent_id", "n_chars"))):
+                if own != article or not rows:
+                    out += packed(article, rows)
+                    article, rows = own, []
+                rows.append(row)
+            yield as_batch()
+            out.clear()
+        out += packed(article, rows)
+        yield as_batch()
+
+    # Articles follow one another in a task, each in the order of its nodes; one article is held at a time.
+    placed = nodes.select("article_id", "local_id", "heading", "node_id", "parent_id", "seq", "n_chars").repartition("article_id").sortWithinPartitions("article_id", F.col("seq").asc_nulls_last(), F.col("node_id").asc_nulls_last())
+    return placed.mapInArrow(run, _PARTS)
 
 
 # Acts whose bootstrap phase has articles and annexes of its own; types of annex children that are planned by themselves.

@@ -39,3 +39,12 @@ def test_packs_what_unit_plan_would_split(spark):
     assert chars == {a: r["n_chars"] for a, r in plan.items()}
     assert {a: len(p) == 1 for a, p in parts.items()} == {a: r["whole"] for a, r in plan.items()}
     assert all(sum(n) <= 1500 for p in parts.values() for n in p.values())
+
+
+def test_no_group_of_pandas_and_order_of_rows_does_not_count(spark):
+    found = [*rows(7, None, ("a7", None, 90), ("p1", "a7", 30), ("p2", "a7", 40)), *rows(8, "x", ("a8", None, 1)), (8, None, None, "b8", None, None, 5)]
+    frame = spark.createDataFrame(found[::-1], NODES)
+    packed = units.unit_pack(frame, 100)
+    assert "FlatMapGroupsInPandas" not in packed._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["article_id"], r["part"] or 0, r["ordinal"], r["node_id"], r["n_chars"]) for r in packed.collect())
+    assert got == [(7, 1, 0, "a7", 90), (7, 1, 1, "p1", 30), (7, 2, 0, "a7", 90), (7, 2, 1, "p2", 40), (8, 0, 0, "a8", 1), (8, 0, 0, "b8", 5)]
