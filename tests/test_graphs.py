@@ -69,3 +69,10 @@ def test_vertices_of_two_classes_and_links_to_none(spark):
     own = (":", "http://o#")
     assert {tuple(r) for r in ontology.vertices(graph, own).collect()} == {("http://o#x", "A", None), ("http://o#x", "B", "private"), ("http://o#y", "A", None)}
     assert {(r["start"][-1], r["end"][-1]) for r in ontology.edges(graph, own).collect()} == {("x", "y"), ("x", "x")}
+
+
+def test_files_of_one_scan_are_read_by_many_tasks_in_few_batches(spark):
+    files = spark.range(0, 20000, numPartitions=1).selectExpr("concat('d', id) as doc_id", "concat('<s> <p> ', id, if(id % 2 = 0, ' .', '')) as content")
+    found = turtle.read(files)
+    assert found.rdd.getNumPartitions() >= 12
+    assert found.where("error is null").count() == found.where("error is not null").count() == 10000
