@@ -5,9 +5,10 @@ A node table has doc_id, node_id, seq, ptype, local_id, citation, parent_id, hea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import tabled
 from ..functions.text import normal_title, roman_value
 
 #: Types of nodes that count as annexes; types of documents whose full text needs a licence.
@@ -37,15 +38,25 @@ def renamed(nodes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return named.withColumn("node_id", F.when(F.col("copy") > 1, F.concat("node_id", F.lit("~"), "copy")).otherwise(F.col("node_id")))
 
 
-def kind_gaps(nodes: DataFrame) -> DataFrame:
+def _runs(seen: Column) -> Column:
+    """The numbers from 1 that a set lacks below its highest one, as runs (first, last): no more of them than numbers found."""
+    found = F.array_sort(F.filter(seen, lambda n: n >= 1))
+    between = F.zip_with(F.slice(F.concat(F.array(F.lit(0)), found), F.lit(1), F.size(found)), found, lambda a, b: F.struct((a + 1).alias("first"), (b - 1).alias("last")))
+    lone = F.array(F.struct(F.lit(1).alias("first"), F.lit(1).alias("last")))
+    return F.when(F.array_max(seen) < 1, lone).otherwise(F.filter(between, lambda r: r["first"] <= r["last"]))
+
+
+def kind_gaps(nodes: DataFrame, runs: bool = False) -> DataFrame:
     """(doc_id, kind, n_found, gaps): articles by the digits they start with, annexes by Roman numerals, recitals; gaps up to the highest number, of recitals the first ten.
 
-    Numbers that cannot be read count as found and fill no gap.
+    Numbers that cannot be read count as found and fill no gap. With `runs`, all gaps are told as runs (first, last), whose number does not depend on how high the numbers are.
     """
     n = F.when(F.col("kind") == "annex", roman_value(F.col("local_id"))).otherwise(F.regexp_extract("local_id", r"^\d+", 0).try_cast("int"))
     kind = F.when(F.col("ptype").isin(ANNEXES), "annex").when(F.col("ptype").isin("article", "recital"), F.col("ptype"))
     found = nodes.select("doc_id", kind.alias("kind"), "local_id").where("kind is not null").select("doc_id", "kind", n.alias("n"))
     sets = found.groupBy("doc_id", "kind").agg(F.count("*").alias("n_found"), F.collect_set("n").alias("seen"))
+    if runs:
+        return sets.select("doc_id", "kind", "n_found", _runs(F.col("seen")).alias("gaps"))
     gaps = F.when(F.size("seen") == 0, F.array().cast("array<int>")).otherwise(F.array_except(F.sequence(F.lit(1), F.greatest(F.array_max("seen"), F.lit(1))), "seen"))
     return sets.select("doc_id", "kind", "n_found", F.when(F.col("kind") == "recital", F.slice(gaps, 1, RECITAL_GAPS)).otherwise(gaps).alias("gaps"))
 
@@ -119,17 +130,19 @@ def storable(documents: DataFrame, licensed: bool = False) -> DataFrame:
     return documents.withColumn("store_text", F.lit(licensed) | ~F.col("doc_type").isin(LICENSED))
 
 
-def report(nodes: DataFrame, errors: DataFrame) -> DataFrame:
+def report(nodes: DataFrame, errors: DataFrame, runs: bool = False) -> DataFrame:
     """One row a document: doc_id, errors, articles_found, article_gaps, annexes_found, annex_gaps, recitals_found, recital_gaps, sequence_errors, articles_without_heading.
 
     errors: doc_id, place, message of what the parser found, in order; `No articles found` comes after them. Breaks are told in the order of their parents, of
     one parent letters before paragraphs before sections. A document of which there are only errors has empty lists besides. Each list is one document's.
+    What makes the nodes runs once, though each list reads them. With `runs`, gaps are told as in kind_gaps.
     """
+    nodes = tabled(nodes.select("doc_id", "node_id", "seq", "ptype", "local_id", "citation", "parent_id", "heading", "marker", "ordinal"))
     documents = nodes.select("doc_id").union(errors.select("doc_id")).distinct()
     told = errors.select("doc_id", F.struct(F.lit(0).alias("late"), F.col("place").cast("long").alias("place"), "message").alias("e"))
     told = told.union(documents.join(nodes.where("ptype = 'article'"), "doc_id", "left_anti").select("doc_id", F.struct(F.lit(1).alias("late"), F.lit(0).cast("long").alias("place"), F.lit("No articles found").alias("message"))))
     listed = lambda rows, name, item: rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda x: x[item]).alias(name))
-    kinds = kind_gaps(nodes).groupBy("doc_id").agg(*(F.max(F.when(F.col("kind") == kind, F.col(c))).alias(name) for kind, many, one in (("article", "articles", "article"), ("annex", "annexes", "annex"), ("recital", "recitals", "recital")) for c, name in (("n_found", f"{many}_found"), ("gaps", f"{one}_gaps"))))
+    kinds = kind_gaps(nodes, runs).groupBy("doc_id").agg(*(F.max(F.when(F.col("kind") == kind, F.col(c))).alias(name) for kind, many, one in (("article", "articles", "article"), ("annex", "annexes", "annex"), ("recital", "recitals", "recital")) for c, name in (("n_found", f"{many}_found"), ("gaps", f"{one}_gaps"))))
     words = F.concat(F.lit("letters ("), F.array_join("found", ")("), F.lit(")"))
     numbers = lambda name: F.concat(F.lit(f"{name} ["), F.array_join(F.col("found").cast("array<string>"), ", "), F.lit("]"))
     breaks = [(0, letter_breaks(nodes), words), (1, paragraph_breaks(nodes), numbers("paragraphs")), (2, section_breaks(nodes), numbers("sections"))]
@@ -140,4 +153,4 @@ def report(nodes: DataFrame, errors: DataFrame) -> DataFrame:
     found = documents.join(listed(told, "errors", "message"), "doc_id", "left").join(kinds, "doc_id", "left").join(listed(sequence, "sequence_errors", "message"), "doc_id", "left").join(listed(bare, "articles_without_heading", "citation"), "doc_id", "left")
     none, counts = F.array(), ["articles_found", "annexes_found", "recitals_found"]
     gaps, lists = ["article_gaps", "annex_gaps", "recital_gaps"], ["errors", "sequence_errors", "articles_without_heading"]
-    return found.select("doc_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts), *(F.coalesce(c, none.cast("array<int>")).alias(c) for c in gaps), *(F.coalesce(c, none.cast("array<string>")).alias(c) for c in lists))
+    return found.select("doc_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts), *(F.coalesce(c, none.cast("array<struct<first:int,last:int>>" if runs else "array<int>")).alias(c) for c in gaps), *(F.coalesce(c, none.cast("array<string>")).alias(c) for c in lists))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.lineage import tabled
 from ..operators import conditions, integrity, ontology, packages, reconcile, signals, units
 from ..sources import act_html, formex, layout
 from ..sources.tables import table
@@ -89,7 +90,7 @@ def article_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sequence_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lettered points out of order; the paragraphs of the act have none, as the query shows by joining both checks."""
-    nodes = synthetic_act(spark, sf_dir)
+    nodes = tabled(synthetic_act(spark, sf_dir).select("doc_id", "node_id", "ptype", "local_id", "parent_id", "marker", "ordinal"))  # read three times below
     letters = integrity.letter_breaks(nodes).select("parent_id", F.array_join("found", ")(").alias("found"))
     return letters.union(integrity.paragraph_breaks(nodes).select("parent_id", F.array_join(F.col("found").cast("array<string>"), ",")))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import tabled
+
 _NODE = "id string, ptype string, local_id string, citation string, parent string, heading string, text string, is_normative boolean, marker string, children array<string>"
 
 
@@ -43,9 +45,9 @@ def unreadable(texts: DataFrame) -> DataFrame:
 def nodes(texts: DataFrame) -> DataFrame:
     """(doc_id, node_id, seq, ptype, local_id, citation, parent_id, heading, text, is_normative, marker, ordinal) of the texts that can be read.
 
-    seq is the place in the text; ordinal the place among the children of the parent, null where the parent does not list the node.
+    seq is the place in the text; ordinal the place among the children of the parent, null where the parent does not list the node. Texts are made and read once.
     """
-    each = texts.select("doc_id", F.posexplode(F.from_json(F.get_json_object("json", "$.nodes"), f"array<struct<{_NODE}>>")).alias("seq", "n"))
+    each = tabled(texts.select("doc_id", F.posexplode(F.from_json(F.get_json_object("json", "$.nodes"), f"array<struct<{_NODE}>>")).alias("seq", "n")))
     own = each.select("doc_id", F.col("n.id").alias("node_id"), F.col("seq").cast("long").alias("seq"), "n.ptype", "n.local_id", "n.citation", F.col("n.parent").alias("parent_id"), "n.heading", "n.text", "n.is_normative", "n.marker")
     places = each.select("doc_id", F.col("n.id").alias("parent_id"), F.posexplode("n.children").alias("ordinal", "node_id")).groupBy("doc_id", "parent_id", "node_id").agg(F.min("ordinal").alias("ordinal"))
     return own.join(places, ["doc_id", "parent_id", "node_id"], "left").select(*own.columns, "ordinal")

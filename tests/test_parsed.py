@@ -44,3 +44,30 @@ def test_what_cannot_be_read(spark):
     odd = spark.createDataFrame([("a", "[]"), ("b", '{"document": 1}'), ("c", None), ("d", "{"), ("e", '{"document": {}}')], "doc_id string, json string")
     assert {r["doc_id"] for r in parsed.unreadable(odd).collect()} == set("abcd")
     assert parsed.nodes(odd).count() == 0
+
+
+def test_gaps_as_runs_are_the_gaps(spark):
+    numbers = {"a": [3, 4, 9], "b": [1, 2], "c": [0], "d": [7], "e": ["x"], "f": [900_000]}
+    nodes = nodes_of(spark, [(d, f"{d}:{n}", i, "article", str(n), f"{d} {n}", None, "h", "", True, "", None) for d, ns in numbers.items() for i, n in enumerate(ns)])
+    listed = {r["doc_id"]: r["gaps"] for r in integrity.kind_gaps(nodes).collect()}
+    runs = {r["doc_id"]: r["gaps"] or [] for r in integrity.kind_gaps(nodes, runs=True).collect()}
+    assert {d: [n for first, last in found for n in range(first, last + 1)] for d, found in runs.items()} == listed
+    whole = {r["doc_id"]: r["article_gaps"] for r in integrity.report(nodes, spark.createDataFrame([], "doc_id string, place int, message string"), runs=True).collect()}
+    assert [tuple(r) for r in whole["f"]] == [(1, 899_999)] and whole["e"] == []
+
+
+def test_sound_values_stay_in_the_reader(spark):
+    told = {place: schemas._sound(rule) for place, rule in schemas.DOCUMENT.items()}
+    node = {"id": "x", "ptype": "point", "local_id": "1", "citation": "c", "parent": None, "text": "", "is_normative": True, "children": []}
+    text = json.dumps({"nodes": [node, node | {"ptype": "line"}, {k: v for k, v in node.items() if k != "text"}], "document": {"id": "kg:x"}, "report": []})
+    rows = [(r["place"], r["kind"]) for r in schemas.json_values(spark.createDataFrame([("k", text)], "key string, json string"), [], told, ()).collect()]
+    assert sorted(rows) == [("$.document", "object"), ("$.document.id", "string"), ("$.nodes[]", "object"), ("$.nodes[].ptype", "string"), ("$.report", "array")]
+
+
+def test_acts_are_read_once(spark):
+    from folio.plans import acts, checks
+
+    for query in (acts.sequence_errors, checks.parse_report, checks.parsed_round_trip):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan or query is not checks.parsed_round_trip
+        assert "lineitem" not in plan and "l_orderkey" not in plan
