@@ -187,25 +187,50 @@ class Network:
     def predicted(self, context: np.ndarray) -> np.ndarray:
         return sum(self.r[c] * p for c, p in zip(context, self.place))
 
-    def log_probabilities(self, context: np.ndarray, output: np.ndarray) -> np.ndarray:
-        """Natural logarithms, normalised over all outputs by one matrix product for many tokens; sums that overflow are taken again below their largest part."""
-        found, one = np.empty(len(output)), np.ones(OUTPUTS, np.float32)
+    def log_sums(self, context: np.ndarray) -> np.ndarray:
+        """Natural logarithms of what normalises each context over all outputs, by one matrix product for many contexts; sums that overflow are taken again below their largest part."""
+        found, one = np.empty(context.shape[1]), np.ones(OUTPUTS, np.float32)
         q = np.ascontiguousarray(np.column_stack([self.q, self.b]).T)
-        for lo in range(0, len(output), 512):
+        for lo in range(0, len(found), 512):
             some = slice(lo, lo + 512)
             h = self.predicted(context[:, some])
             s = np.column_stack([h, np.ones(len(h), np.float32)]) @ q
-            own = s[np.arange(len(s)), output[some]]
             with np.errstate(over="ignore"):
                 z = np.exp(s, out=s) @ one
             if np.isfinite(z).all() and z.all():
-                found[some] = own - np.log(z)
+                found[some] = np.log(z)
             else:
                 s = h.astype(np.float64) @ self.q.T + self.b
                 top = s.max(1, keepdims=True)
-                found[some] = s[np.arange(len(s)), output[some]] - top[:, 0] - np.log(np.exp(s - top).sum(1))
+                found[some] = top[:, 0] + np.log(np.exp(s - top).sum(1))
         return found
 
+    def log_probabilities(self, context: np.ndarray, output: np.ndarray) -> np.ndarray:
+        """Natural logarithms, normalised over all outputs."""
+        own = (self.predicted(context).astype(np.float64) * self.q[output]).sum(1) + self.b[output]
+        return own - self.log_sums(context)
+
+
+@dataclass
+class Table:
+    """A network's log probabilities as sums of few numbers a token: what each place before it gives each output, and what normalises each context.
+
+    There are (OUTPUTS + 1) ** CONTEXT contexts, so each is normalised once for all tokens that follow it.
+    """
+
+    given: np.ndarray  # place, input, output; what an output has by itself goes with the nearest place
+    sums: np.ndarray
+
+    @staticmethod
+    def of(net: Network) -> Table:
+        given = np.stack([(net.r * p).astype(np.float64) @ net.q.T for p in net.place])
+        given[0] += net.b
+        every = np.arange((OUTPUTS + 1) ** CONTEXT)
+        return Table(given, net.log_sums(np.stack(np.unravel_index(every, (OUTPUTS + 1,) * CONTEXT))))
+
+    def log_probabilities(self, context: np.ndarray, output: np.ndarray) -> np.ndarray:
+        return sum(g[c, output] for g, c in zip(self.given, context)) - self.sums[np.ravel_multi_index(tuple(context), (OUTPUTS + 1,) * CONTEXT)]
+
 
 def noise_of(weight: np.ndarray) -> np.ndarray:
     """The distribution of noise: how often each output occurs, and a little for those that do not."""
@@ -321,9 +346,9 @@ def fit(documents: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_co
     return Network.unpacked(net)
 
 
-def _scored(words, net):
+def _scored(words, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, network = words.value, Network.unpacked(net.value)
+        known, network = words.value, table.value
         number = TaskContext.get().partitionId() << 33
         log_count, log_all = np.log10(known.count + 1.0), np.log10(known.n + known.v + 1.0)
         share = np.where(np.arange(OUTPUTS) < WORDS, 0.0, np.log10(known.weight + known.types + 1))
@@ -360,7 +385,7 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     context = documents.sparkSession.sparkContext
     net = fit(documents, words, id_col, text_col)
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    scored = written(rows.mapInArrow(_scored(context.broadcast(words), context.broadcast(net.packed())), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<binary>, times array<long>"))
+    scored = written(rows.mapInArrow(_scored(context.broadcast(words), context.broadcast(Table.of(net))), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<binary>, times array<long>"))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     more = rare.join(counts.where("c > 0").select("word", "c"), "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"), F.sum("times").alias("found"))
     whole, none = scored.drop("rare", "times").join(more, "row", "left"), F.lit(0)

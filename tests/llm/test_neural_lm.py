@@ -86,3 +86,18 @@ def test_an_empty_table_and_one_without_training_documents(spark):
     only = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = rows_of(spark, [(only, "a b")])[0]
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0) and math.isfinite(r["score"])
+
+
+def test_each_context_is_normalised_once_however_many_tokens_follow_it(monkeypatch):
+    rng = np.random.default_rng(5)
+    net = lm.Network.new(rng.integers(0, 50, lm.OUTPUTS).astype(float))
+    net.q *= 10
+    context, output = rng.integers(0, lm.OUTPUTS + 1, (lm.CONTEXT, 3000)), rng.integers(0, lm.OUTPUTS, 3000)
+    normalised, plain = [], lm.Network.log_sums
+    monkeypatch.setattr(lm.Network, "log_sums", lambda self, c: normalised.append(c.shape[1]) or plain(self, c))
+    table = lm.Table.of(net)
+    assert normalised == [(lm.OUTPUTS + 1) ** lm.CONTEXT]
+    for _ in range(3):
+        found = table.log_probabilities(context, output)
+    assert len(normalised) == 1
+    assert found == pytest.approx(net.log_probabilities(context, output), abs=1e-4)
