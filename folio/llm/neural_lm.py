@@ -115,9 +115,9 @@ class Vocabulary:
 
     def of(self, raw: bytes) -> tuple[np.ndarray, Counter]:
         """(codes of a text, its end included; words that are not known with their numbers)."""
-        codes, rare = [], Counter()
+        codes, rare, known = [], Counter(), self.codes
         for part in tokens_of(raw):
-            c = np.fromiter(map(self.codes.__getitem__, part), np.int64, len(part))
+            c = np.fromiter([known[w] for w in part], np.int64, len(part))
             codes.append(c)
             rare.update(part[i] for i in np.flatnonzero(c < 0).tolist())
         return np.append(np.concatenate(codes) if codes else np.empty(0, np.int64), self.codes[END]), rare
@@ -248,30 +248,27 @@ def contexts(output: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _scattered(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """Sums of rows by their places."""
-    order = np.argsort(at.astype(np.int16), kind="stable")  # sorted by digits, as places are few
-    at = at[order]
-    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    out = np.zeros((size, rows.shape[1]), np.float32)
-    out[at[starts]] = np.add.reduceat(rows[order], starts, axis=0)
-    return out
+    cells = at[:, None] * WIDTH + np.arange(WIDTH)
+    return np.bincount(cells.ravel(), rows.ravel(), size * WIDTH).reshape(size, WIDTH).astype(np.float32)
 
 
 def gradients(net: Network, context: np.ndarray, output: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> list[np.ndarray]:
     """Of the mean noise-contrastive loss: data against SHARE noise outputs a token, which the outputs `noise` stand for."""
-    held = net.r[context]
-    h = (held * net.place[:, None, :]).sum(0)
+    h = sum((net.r * p).take(c, 0) for c, p in zip(context, net.place))
+    own, against = net.q.take(output, 0), net.q[noise]
     shift, each = np.float32(np.log(SHARE)), np.float32(SHARE / len(noise))
     # Of data: -log of its odds against the noise; of noise: -log of the odds against it.
-    data = (h * net.q[output]).sum(1) + net.b[output] - log_noise[output] - shift
-    other = h @ net.q[noise].T + net.b[noise] - log_noise[noise] - shift
+    data = np.einsum("ij,ij->i", h, own) + (net.b - log_noise)[output] - shift
+    other = h @ against.T + (net.b[noise] - log_noise[noise] - shift)
     g = (1 / (1 + np.exp(np.minimum(data, 60)))) / -np.float32(len(output))
     gn = each / (1 + np.exp(np.minimum(-other, 60))) / np.float32(len(output))
-    dh = g[:, None] * net.q[output] + gn @ net.q[noise]
+    dh = g[:, None] * own + gn @ against
     dq = _scattered(g[:, None] * h, output, OUTPUTS)
     np.add.at(dq, noise, gn.T @ h)
     db = np.bincount(output, g, OUTPUTS) + np.bincount(noise, gn.sum(0), OUTPUTS)
-    dr = _scattered((dh[None] * net.place[:, None, :]).reshape(-1, WIDTH), context.ravel(), OUTPUTS + 1)
-    return [dr, dq, (held * dh[None]).sum(1), db.astype(np.float32)]
+    # What each place passes back to each input, from which the gradients of inputs and of places follow.
+    back = [_scattered(dh, c, OUTPUTS + 1) for c in context]
+    return [sum(x * p for x, p in zip(back, net.place)), dq, np.stack([(net.r * x).sum(0) for x in back]), db.astype(np.float32)]
 
 
 class Trainer:
