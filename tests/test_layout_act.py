@@ -147,3 +147,14 @@ def test_footnote_calls_across_lines(spark):
     start = "(1) at the start.\n  (1) Regulation one\n"
     docs = spark.createDataFrame([(1, page), (2, called), (3, start)], "doc_id int, text string")
     assert [(r["doc_id"], r["cut"]) for r in layout.footnote_cuts(layout.lines(docs)).collect()] == [(2, 2)]
+
+
+def test_lists_without_a_letter_i_are_not_read_again_and_texts_come_with_events(spark):
+    """Events carry what they take of a line, so no line is joined to them; nodes without a letter (i) pass as they are."""
+    lines = [(0, "HAVE ADOPTED THIS REGULATION:"), (1, "CHAPTER I"), (2, "Scope"), (3, "Article 1"), (4, "Aim"), (5, "  1. It shall:"), (6, "     (a) be read"), (7, "         once;")]
+    frame = spark.createDataFrame([("d", 0, n, line) for n, line in lines], "doc_id string, page_no int, line_no int, line string")
+    parse = layout_act.Parse(frame, F.upper("doc_id"))
+    assert {r["piece"] for r in parse.events.where("event in ('text', 'heading')").collect()} == {"Scope", "Aim", "It shall:", "be read", "once;"}
+    parse.lines = None
+    rows = {r["node_id"]: (r["parent_id"], r["heading"], r["text"]) for r in parse.nodes().collect()}
+    assert rows["d:art_1.par_1.let_a"] == ("d:art_1.par_1", "", "be read once;") and rows["d:art_1"] == ("d:chap_I", "Aim", "")
