@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
 from ..functions.text import dehyphenated
 
 # Words of the running header, words of a page that may name its annex, the word that heads a table's second
@@ -20,29 +19,35 @@ BEFORE_RULE, BEFORE_MARKER, SUBSECTOR_WIDTH = 1, 2, 90
 _PAGE = ["doc_id", "page_no"]
 
 
-def _annexes(words: DataFrame) -> DataFrame:
-    """(doc_id, page_no, annex, first_page) of pages that go on with a table; of an annex that begins more than once only the last counts."""
-    by_place = Window.partitionBy(*_PAGE).orderBy("seq")
-    named = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("nth") <= NAMING_WORDS, F.struct("nth", "text")))), lambda w: w["text"]), " ")
-    pages = words.withColumn("nth", F.row_number().over(by_place)).groupBy(*_PAGE).agg(named.alias("line"), F.max(F.col("text") == COLUMN_HEAD).alias("headed"))
-    annex = F.regexp_extract("line", r"(?U)\bANNEX ([IVX]+)\b", 1)
-    start = F.when(annex != "", F.struct(F.when(F.col("headed"), annex).alias("annex"), F.col("page_no").alias("first_page")))
+def _pages(words: DataFrame, rules: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page_no, words, rules, width): a row for each page, words in their order. A document's pages meet in one task, so that nothing after this is sent again."""
+    place = lambda rows, name, c, kind: rows.select(*_PAGE, *((c if n == name else F.lit(None)).cast(kind if n == name else t).alias(n) for n, t in kinds.items()))
+    word = F.struct("seq", F.col("x0").cast("double").alias("x0"), F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom"), "text")
+    kinds = {"word": words.select(word.alias("w")).schema["w"].dataType, "rule": "double", "width": "double"}
+    told = place(words, "word", word, kinds["word"]).union(place(rules, "rule", F.col("x0"), "double")).union(place(pages, "width", F.col("width"), "double"))
+    return told.repartition("doc_id").groupBy(*_PAGE).agg(F.sort_array(F.collect_list("word")).alias("words"), F.collect_list("rule").alias("rules"), F.max("width").alias("width"))
+
+
+def _of_annexes(pages: DataFrame) -> DataFrame:
+    """Pages that go on with a table, with annex; of an annex that begins more than once only the last counts."""
+    line = F.array_join(F.transform(F.slice("words", 1, NAMING_WORDS), lambda w: w["text"]), " ")
+    named = pages.where(F.size("words") > 0).withColumns({"named": F.regexp_extract(line, r"(?U)\bANNEX ([IVX]+)\b", 1), "headed": F.exists("words", lambda w: w["text"] == COLUMN_HEAD)})
+    start = F.when(F.col("named") != "", F.struct(F.when(F.col("headed"), F.col("named")).alias("annex"), F.col("page_no").alias("first_page")))
     open_ = F.last(start, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("page_no"))
-    found = pages.select(*_PAGE, open_.alias("a")).select(*_PAGE, "a.annex", "a.first_page").where("annex is not null")
-    return found.withColumn("last", F.max("first_page").over(Window.partitionBy("doc_id", "annex"))).where("first_page = last").drop("last")
+    found = named.withColumn("a", open_).select(*pages.columns, "a.annex", "a.first_page").where("annex is not null")
+    return found.withColumn("last", F.max("first_page").over(Window.partitionBy("doc_id", "annex"))).where("first_page = last and width is not null").drop("first_page", "last")
 
 
-def _merged_rules(rules: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, page_no, rules): places of vertical rules from left to right; what lies near the last one kept is the same rule."""
+def _merged(rules: Column) -> Column:
+    """Places of vertical rules from left to right; what lies near the last one kept is the same rule."""
     near = lambda kept, x: F.coalesce(x - F.try_element_at(kept, F.lit(-1)) <= NEAR_RULES, F.lit(False))
     fold = lambda kept, x: F.when(near(kept, x), kept).otherwise(F.array_append(kept, x))
-    inner = rules.join(pages.select(*_PAGE, "width"), _PAGE).where(F.col("x0") < F.col("width") * INNER)
-    return inner.groupBy(*_PAGE).agg(F.aggregate(F.array_sort(F.collect_list(F.col("x0").cast("double"))), F.array().cast("array<double>"), fold).alias("rules"))
+    return F.aggregate(F.sort_array(rules), F.array().cast("array<double>"), fold)
 
 
 def _column(condition: Column) -> Column:
     """The words of a line within a column, from left to right."""
-    within = F.array_sort(F.collect_list(F.when(condition, F.struct("x0", "seq", "text"))))
+    within = F.sort_array(F.collect_list(F.when(condition, F.struct("x0", "seq", "text"))))
     return F.trim(F.array_join(F.transform(within, lambda w: w["text"]), " "))
 
 
@@ -54,16 +59,17 @@ def table_lines(words: DataFrame, rules: DataFrame, pages: DataFrame) -> DataFra
     dashes. Pages without either, words without a place or text, and pages without a width have no lines.
     """
     words = words.where("doc_id is not null and page_no is not null and x0 is not null and top is not null and text is not null")
-    words = words.select(*_PAGE, "seq", F.col("x0").cast("double").alias("x0"), F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom"), "text")
-    body = words.join(_annexes(words), _PAGE).join(pages.select(*_PAGE, "width"), _PAGE).where(~((F.col("x0") > F.col("width") * INNER) & F.col("text").rlike(HEADER_WORD)))
-    page = Window.partitionBy(*_PAGE)
-    start = F.min_by(F.when(F.col("text") == COLUMN_HEAD, F.col("bottom")), F.when(F.col("text") == COLUMN_HEAD, F.col("seq"))).over(page)
-    body = body.withColumn("start", start).where(F.col("top") > F.coalesce("start", F.lit(0.0)))
-    body = body.withColumn("letter", F.min(F.when(F.col("text").rlike(r"^\([a-z]\)$"), F.col("x0"))).over(page)).withColumn("dash", F.min(F.when(F.col("text") == "—", F.col("x0"))).over(page))
+    inner = F.col("width") * INNER
+    body = _of_annexes(_pages(words, rules, pages)).withColumns({"words": F.filter("words", lambda w: ~((w["x0"] > inner) & w["text"].rlike(HEADER_WORD))), "rules": _merged(F.filter("rules", lambda x: x < inner))})
+    start = F.get(F.filter("words", lambda w: w["text"] == COLUMN_HEAD), F.lit(0))["bottom"]
+    # The start is an array's one item, else it would be looked for again at each word.
+    body = body.withColumn("words", F.flatten(F.transform(F.array(F.coalesce(start, F.lit(0.0))), lambda y: F.filter("words", lambda w: w["top"] > y))))
+    least = lambda test: F.array_min(F.transform(F.filter("words", test), lambda w: w["x0"]))
+    body = body.withColumns({"letter": least(lambda w: w["text"].rlike(r"^\([a-z]\)$")), "dash": least(lambda w: w["text"] == "—")})
     ruled = F.size("rules") >= 3
     third = F.when(ruled, F.get("rules", F.lit(2)) - BEFORE_RULE).otherwise(F.col("dash") - BEFORE_MARKER)
     second = F.when(ruled, F.get("rules", F.lit(1)) - BEFORE_RULE).otherwise(F.coalesce(F.col("letter") - BEFORE_MARKER, F.col("third") - SUBSECTOR_WIDTH))
-    body = body.join(_merged_rules(rules, pages), _PAGE, "left").withColumn("third", third).withColumn("second", second).where("third is not null")
+    body = body.withColumn("third", third).withColumn("second", second).where("third is not null").select("doc_id", "annex", "page_no", "second", "third", F.inline("words"))
     x = F.col("x0")
     columns = {"sector": (x >= 0) & (x < F.col("second")), "subsector": (x >= F.col("second")) & (x < F.col("third")), "entity": x >= F.col("third")}
     lines = body.groupBy("doc_id", "annex", "page_no", F.bround("top").alias("y")).agg(*(_column(c).alias(name) for name, c in columns.items()))
@@ -88,22 +94,21 @@ def entity_rows(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("plain", F.max(told & (F.col("lettered") == 0)).over(in_sector).cast("int")).withColumn("sub_at", F.col("lettered") + F.col("plain"))
     opens_entity = told & (F.startswith("entity", F.lit("—")) | (F.count_if(told).over(in_sub) == 1))
     rows = rows.withColumn("opens", opens_entity).withColumn("ent_at", F.count_if(F.col("opens")).over(in_sub))
-    rows = cut(rows)  # read three times below
-
-    def told_by(kind: str, keys: list[str], number: Column, piece: Column) -> DataFrame:
-        pieces = F.array_sort(F.collect_list(F.when(piece != "", F.struct("page_no", "y", piece.alias("piece")))))
-        name = F.array_join(F.transform(pieces, lambda p: p["piece"]), " ")
-        out = rows.groupBy("doc_id", "annex", *keys).agg(F.max(number).alias("number"), name.alias("name"))
-        missing = [F.lit(0).cast("long").alias(k) for k in ("sector_at", "sub_at", "ent_at") if k not in keys]
-        return out.select("doc_id", "annex", F.lit(kind).alias("kind"), *keys, *missing, "number", "name")
 
-    none = F.lit(None).cast("string")
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
     first = F.when(opens_sector, F.regexp_extract("sector", r"(?U)^(\d+)\.", 1))
     letter = F.when(opens_sub, F.regexp_extract("subsector", r"^\(([a-z])\)", 1))
-    sectors = told_by("sector", ["sector_at"], first, F.when(opens_sector, F.regexp_replace("sector", r"(?U)^\d+\.\s*", "")).otherwise(F.col("sector")))
-    subs = told_by("subsector", ["sector_at", "sub_at"], letter, F.when(opens_sub, F.regexp_replace("subsector", r"(?U)^\([a-z]\)\s*", "")).otherwise(F.col("subsector"))).where("number is not null")
-    entities = told_by("entity_type", ["sector_at", "sub_at", "ent_at"], none, F.when(F.col("opens"), F.trim(F.regexp_replace("entity", "^[— ]+", ""))).otherwise(F.col("entity"))).where("ent_at > 0")
-    return sectors.unionByName(subs).unionByName(entities.withColumn("number", F.col("ent_at").cast("string")))
+    told_of = lambda kind, sub, ent, number, piece: F.struct(F.lit(kind).alias("kind"), "sector_at", sub.alias("sub_at"), ent.alias("ent_at"), number.alias("number"), piece.alias("piece"))
+    pieces = F.array(
+        told_of("sector", zero, zero, first, F.when(opens_sector, F.regexp_replace("sector", r"(?U)^\d+\.\s*", "")).otherwise(F.col("sector"))),
+        told_of("subsector", F.col("sub_at"), zero, letter, F.when(opens_sub, F.regexp_replace("subsector", r"(?U)^\([a-z]\)\s*", "")).otherwise(F.col("subsector"))),
+        told_of("entity_type", F.col("sub_at"), F.col("ent_at"), none, F.when(F.col("opens"), F.trim(F.regexp_replace("entity", "^[— ]+", ""))).otherwise(F.col("entity"))),
+    )
+    # What a line tells in its three columns is put together at once.
+    each = rows.select("doc_id", "annex", "page_no", "y", F.inline(pieces)).where("kind = 'sector' or kind = 'subsector' and sub_at > 0 or kind = 'entity_type' and ent_at > 0")
+    name = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("piece") != "", F.struct("page_no", "y", "piece")))), lambda p: p["piece"]), " ")
+    out = each.groupBy("doc_id", "annex", "kind", "sector_at", "sub_at", "ent_at").agg(F.max("number").alias("number"), name.alias("name"))
+    return out.where("kind <> 'subsector' or number is not null").withColumn("number", F.when(F.col("kind") == "entity_type", F.col("ent_at").cast("string")).otherwise(F.col("number")))
 
 
 def entity_nodes(rows: DataFrame, annexes: DataFrame) -> DataFrame:
@@ -113,24 +118,25 @@ def entity_nodes(rows: DataFrame, annexes: DataFrame) -> DataFrame:
     gets `~2`, `~3` and so on, and what lies below it too. Headings and texts are without soft hyphens. place orders the
     nodes of an annex.
     """
-    key = ["doc_id", "annex"]
-    again = lambda n: F.when(n > 1, F.concat(F.lit("~"), n)).otherwise("")
-    nth = lambda *by: F.row_number().over(Window.partitionBy(*key, *by).orderBy("sector_at", "sub_at"))
-    top = rows.where("kind = 'sector'").join(annexes.select(*key, F.col("node_id").alias("annex_id"), F.col("citation").alias("annex_cite")), key)
-    top = top.withColumn("step", F.concat(F.lit(".sec_"), "number", again(nth("number"))))
-    top = top.select(*key, "sector_at", F.col("number").alias("local_id"), "name", "annex_id", F.concat("annex_id", "step").alias("sector_id"), F.concat("annex_cite", F.lit(", point "), "number").alias("sector_cite"))
-    above = top.select(*key, "sector_at", "sector_id", "sector_cite")
-    middle = rows.where("kind = 'subsector'").join(above, [*key, "sector_at"])
-    middle = middle.select(*key, "sector_at", "sub_at", F.col("number").alias("local_id"), "name", "sector_id", F.concat("sector_id", F.lit(".sub_"), "number", again(nth("sector_at", "number"))).alias("sub_id"), F.concat("sector_cite", F.lit("("), "number", F.lit(")")).alias("sub_cite"))
-    low = rows.where("kind = 'entity_type'").join(above, [*key, "sector_at"]).join(middle.select(*key, "sector_at", "sub_at", "sub_id", "sub_cite"), [*key, "sector_at", "sub_at"], "left")
+    key, kind, number = ["doc_id", "annex"], F.col("kind"), F.col("number")
+    named = annexes.groupBy("doc_id").agg(F.collect_list(F.struct("annex", "node_id", "citation")).alias("annexes"))
+    rows = rows.join(named, "doc_id").withColumn("a", F.get(F.filter("annexes", lambda a: a["annex"] == F.col("annex")), F.lit(0))).where("a is not null").drop("annexes")
+    # Nodes above a row are found by windows over its annex, which is in one task anyway.
+    nth = F.row_number().over(Window.partitionBy(*key, "kind", F.when(kind == "subsector", F.col("sector_at")), "number").orderBy("sector_at", "sub_at"))
+    rows = rows.withColumn("nth", F.when(kind != "entity_type", nth))
+    step = F.concat(F.when(kind == "sector", ".sec_").otherwise(".sub_"), "number", F.when(F.col("nth") > 1, F.concat(F.lit("~"), "nth")).otherwise(""))
+    of = lambda name: F.max(F.when(kind == name, F.struct(step.alias("step"), "number")))
+    rows = rows.withColumn("sub", of("subsector").over(Window.partitionBy(*key, "sector_at", "sub_at"))).withColumn("sec", of("sector").over(Window.partitionBy(*key, "sector_at")))
+    rows = rows.withColumns({"sector_id": F.concat("a.node_id", "sec.step"), "sector_cite": F.concat("a.citation", F.lit(", point "), "sec.number")})
+    rows = rows.withColumns({"sub_id": F.concat("sector_id", "sub.step"), "sub_cite": F.concat("sector_cite", F.lit("("), "sub.number", F.lit(")"))})
     parent, cite = F.coalesce("sub_id", "sector_id"), F.coalesce("sub_cite", "sector_cite")
-    empty, zero = F.lit(""), F.lit(0).cast("long")
-    place = lambda sub, ent: F.struct("annex", "sector_at", sub.alias("sub_at"), ent.alias("ent_at")).alias("place")
-    text = dehyphenated(F.col("name"))
-    first = top.select("doc_id", F.col("sector_id").alias("node_id"), F.lit("sector").alias("ptype"), "local_id", F.col("sector_cite").alias("citation"), F.col("annex_id").alias("parent_id"), text.alias("heading"), empty.alias("text"), place(zero, zero))
-    second = middle.select("doc_id", "sub_id", F.lit("subsector"), "local_id", "sub_cite", "sector_id", text, empty, place(F.col("sub_at"), zero))
-    third = low.select("doc_id", F.concat(parent, F.lit(".ent_"), "number"), F.lit("entity_type"), F.col("number"), F.concat(cite, F.lit(", entity "), "number"), parent, empty, text, place(F.col("sub_at"), F.col("ent_at")))
-    return first.union(second).union(third)
+    by_kind = lambda first, second, third: F.when(kind == "sector", first).when(kind == "subsector", second).otherwise(third)
+    text, empty, low = dehyphenated(F.col("name")), F.lit(""), kind == "entity_type"
+    return rows.select(
+        "doc_id", by_kind(F.col("sector_id"), F.col("sub_id"), F.concat(parent, F.lit(".ent_"), number)).alias("node_id"), kind.alias("ptype"), number.alias("local_id"),
+        by_kind(F.col("sector_cite"), F.col("sub_cite"), F.concat(cite, F.lit(", entity "), number)).alias("citation"), by_kind(F.col("a.node_id"), F.col("sector_id"), parent).alias("parent_id"),
+        F.when(low, empty).otherwise(text).alias("heading"), F.when(low, text).otherwise(empty).alias("text"), F.struct("annex", "sector_at", "sub_at", "ent_at").alias("place"),
+    )
 
 
 def annexes_of(nodes: DataFrame) -> DataFrame:
@@ -142,4 +148,4 @@ def annexes_of(nodes: DataFrame) -> DataFrame:
 
 def nodes(words: DataFrame, rules: DataFrame, pages: DataFrame, parsed: DataFrame) -> DataFrame:
     """The nodes of entity_nodes of all tables of acts, parsed being their nodes so far."""
-    return entity_nodes(cut(entity_rows(table_lines(words, rules, pages))), annexes_of(parsed))
+    return entity_nodes(entity_rows(table_lines(words, rules, pages)), annexes_of(parsed))

@@ -67,3 +67,19 @@ def test_repeated_ids_and_annexes(spark):
     rows = entity_tables.nodes(frame, ruled, sizes, parsed).orderBy("place").collect()
     assert [r["node_id"] for r in rows if r["ptype"] != "entity_type"] == ["x:anx_I.sec_1", "x:anx_I.sec_1.sub_a", "x:anx_I.sec_1.sub_a~2", "x:anx_I.sec_1~2", "x:anx_I.sec_1~2.sub_a", "x:anx_I.sec_1~2.sub_a~2"]
     assert {(r["citation"], r["text"]) for r in rows if r["ptype"] == "entity_type"} == {("X Annex I, point 1(a), entity 1", "sector")}
+
+
+def test_words_are_sent_once_and_not_written(spark):
+    plan = layouts.QUERIES["entity_tables"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    tree = plan.split("Final Plan")[-1]
+    assert "ExistingRDD" not in tree  # nothing is checkpointed
+    assert "REPARTITION_BY_COL" in tree and tree.count("Exchange hashpartitioning(doc_id") <= 3 and "page_no" not in "".join(line for line in tree.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_words_above_the_head_and_pages_without_width(spark):
+    page = [*HEAD, (8, 200, "—"), (50, 10, "1."), (50, 60, "Name"), (50, 210, "—"), (50, 220, "e")]
+    # The dash above the head of the table tells no column.
+    assert _rows(spark, {1: page}, []) == [("I", "sector", "1", "Name"), ("I", "entity_type", "1", "e")]
+    words = spark.createDataFrame([("d", 1, i, float(x), float(t), t + 10.0, w) for i, (t, x, w) in enumerate(page)], "doc_id string, page_no int, seq int, x0 double, top double, bottom double, text string")
+    none = spark.createDataFrame([], "doc_id string, page_no int, x0 double, width double")
+    assert entity_tables.table_lines(words, none, none).count() == 0
