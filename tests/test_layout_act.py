@@ -158,3 +158,23 @@ def test_lists_without_a_letter_i_are_not_read_again_and_texts_come_with_events(
     parse.lines = None
     rows = {r["node_id"]: (r["parent_id"], r["heading"], r["text"]) for r in parse.nodes().collect()}
     assert rows["d:art_1.par_1.let_a"] == ("d:art_1.par_1", "", "be read once;") and rows["d:art_1"] == ("d:chap_I", "Aim", "")
+
+
+def test_nodes_are_made_in_one_pass_and_nothing_is_checkpointed(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(layout_act, "cut", lambda df: made.append(1) or df)
+    rows = [(k, "\n".join(v), k.upper()) for k, v in ACTS.items() if k != "romans"]
+    parse = layout_act.parse(spark.createDataFrame(rows, "doc_id string, text string, short_name string"))
+    assert parse.nodes().count() > 60 and not made and "events" not in vars(parse)
+
+
+def test_batches_of_a_line_give_the_same_nodes(spark, nodes):
+    """Nodes leave the automaton once nothing more can be told of them, wherever batches end."""
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        rows = [(k, "\n".join(v), k.upper()) for k, v in ACTS.items()]
+        found = layout_act.parse(spark.createDataFrame(rows, "doc_id string, text string, short_name string")).nodes().collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert sorted(map(repr, found)) == sorted(repr(r) for act in nodes.values() for r in act.values())
