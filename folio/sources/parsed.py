@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import tabled
-
 _NODE = "id string, ptype string, local_id string, citation string, parent string, heading string, text string, is_normative boolean, marker string, children array<string>"
 
 
+def _none(c: Column) -> Column:
+    """A null of the type of c."""
+    return F.when(F.lit(False), c)
+
+
 def rendered(documents: DataFrame, nodes: DataFrame, reports: DataFrame) -> DataFrame:
     """(doc_id, json): one text for each of documents (doc_id, document struct) with its report (doc_id, errors, sequence_errors, ..) and its nodes in order.
 
     Nodes: doc_id, node_id, seq, ptype, local_id, citation, parent_id, heading, text, is_normative, marker, ordinal. Null headings, texts and markers are
     written as empty; a null parent is written, other nulls of a document are not. A document without a report has one of empty lists; all nodes of a document are in one row.
     """
-    below = nodes.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "seq", "node_id"))), lambda x: x["node_id"]).alias("children"))
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    whole = nodes.join(below, ["doc_id", "node_id"], "left")
-    node = F.to_json(F.struct(F.col("node_id").alias("id"), "ptype", "local_id", "citation", F.col("parent_id").alias("parent"), empty("heading"), empty("text"), F.coalesce("is_normative", F.lit(False)).alias("is_normative"), empty("marker"), F.coalesce("children", F.array().cast("array<string>")).alias("children")), {"ignoreNullFields": "false"})
-    lists = whole.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "node_id", node.alias("node")))), lambda x: x["node"]), ",").alias("nodes"))
+    own = F.struct("seq", "ptype", "local_id", "citation", "parent_id", "heading", "text", "is_normative", "marker")
+    # A document's nodes meet once: each is told under its own id and, as a child, under its parent's.
+    child = F.struct("ordinal", "seq", "node_id")
+    told = F.struct("node_id", own.alias("own"), _none(child).alias("child")), F.struct(F.col("parent_id").alias("node_id"), _none(own).alias("own"), child.alias("child"))
+    each = nodes.repartition("doc_id").select("doc_id", F.inline(F.array(*told))).where("own is not null or node_id is not null")
+    whole = each.groupBy("doc_id", "node_id").agg(F.collect_list("own").alias("own"), F.transform(F.sort_array(F.collect_list("child")), lambda x: x["node_id"]).alias("children"))
+    whole = whole.select("doc_id", "node_id", "children", F.inline("own"))
+    node = F.to_json(F.struct(F.col("node_id").alias("id"), "ptype", "local_id", "citation", F.col("parent_id").alias("parent"), empty("heading"), empty("text"), F.coalesce("is_normative", F.lit(False)).alias("is_normative"), empty("marker"), "children"), {"ignoreNullFields": "false"})
+    lists = whole.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "node_id", node.alias("node")))), lambda x: x["node"]), ",").alias("nodes"))
     told = reports.select("doc_id", F.to_json(F.struct(*(c for c in reports.columns if c != "doc_id"))).alias("report"))
     rows = documents.join(lists, "doc_id", "left").join(told, "doc_id", "left")
     report = F.coalesce("report", F.lit('{"errors":[],"sequence_errors":[]}'))
@@ -47,7 +55,12 @@ def nodes(texts: DataFrame) -> DataFrame:
 
     seq is the place in the text; ordinal the place among the children of the parent, null where the parent does not list the node. Texts are made and read once.
     """
-    each = tabled(texts.select("doc_id", F.posexplode(F.from_json(F.get_json_object("json", "$.nodes"), f"array<struct<{_NODE}>>")).alias("seq", "n")))
-    own = each.select("doc_id", F.col("n.id").alias("node_id"), F.col("seq").cast("long").alias("seq"), "n.ptype", "n.local_id", "n.citation", F.col("n.parent").alias("parent_id"), "n.heading", "n.text", "n.is_normative", "n.marker")
-    places = each.select("doc_id", F.col("n.id").alias("parent_id"), F.posexplode("n.children").alias("ordinal", "node_id")).groupBy("doc_id", "parent_id", "node_id").agg(F.min("ordinal").alias("ordinal"))
-    return own.join(places, ["doc_id", "parent_id", "node_id"], "left").select(*own.columns, "ordinal")
+    each = texts.repartition("doc_id").select("doc_id", F.posexplode(F.from_json(F.get_json_object("json", "$.nodes"), f"array<struct<{_NODE}>>")).alias("seq", "n"))
+    # Nodes and the places that their parents list meet within a document, which is in one task.
+    own = F.struct(F.col("seq").cast("long").alias("seq"), "n.ptype", "n.local_id", "n.citation", "n.heading", "n.text", "n.is_normative", "n.marker")
+    row = lambda parent, name, own, ordinal: F.struct(parent.alias("parent_id"), name.alias("node_id"), own.alias("own"), ordinal.alias("ordinal"))
+    alone = F.array(row(F.col("n.parent"), F.col("n.id"), own, F.lit(None).cast("int")))
+    listed = F.transform("n.children", lambda child, i: row(F.col("n.id"), child, _none(own), i))
+    met = each.select("doc_id", F.inline(F.when(F.size("n.children") > 0, F.concat(alone, listed)).otherwise(alone))).where("own is not null or doc_id is not null and parent_id is not null and node_id is not null")
+    met = met.groupBy("doc_id", "parent_id", "node_id").agg(F.collect_list("own").alias("own"), F.min("ordinal").alias("ordinal")).select("doc_id", "parent_id", "node_id", "ordinal", F.inline("own"))
+    return met.select("doc_id", "node_id", "seq", "ptype", "local_id", "citation", "parent_id", "heading", "text", "is_normative", "marker", "ordinal")

@@ -71,3 +71,25 @@ def test_acts_are_read_once(spark):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan or query is not checks.parsed_round_trip
         assert "lineitem" not in plan and "l_orderkey" not in plan
+
+
+def test_nodes_of_a_text_meet_once(spark):
+    """Texts are sent once, by document, and no node is joined to where its parent lists it; ids that repeat or are missing keep what they had."""
+    node = {"id": "a", "ptype": "point", "local_id": "1", "citation": "c", "parent": None, "text": "", "is_normative": True, "children": ["b", "c", "b", None]}
+    nodes = [node, node | {"id": "b", "parent": "a", "children": []}, node | {"id": "b", "parent": "a", "children": None}, node | {"id": None, "parent": "a", "children": ["x"]}, node | {"id": "x", "parent": None, "children": []}, node | {"id": "d", "parent": "a", "children": []}]
+    texts = spark.createDataFrame([("k", json.dumps({"nodes": nodes})), (None, json.dumps({"nodes": nodes[:2]})), ("e", '{"nodes": []}')], "doc_id string, json string")
+    found = parsed.nodes(texts)
+    assert sorted((repr(r["doc_id"]), r["seq"], r["node_id"], r["ordinal"]) for r in found.collect()) == [("'k'", 0, "a", None), ("'k'", 1, "b", 0), ("'k'", 2, "b", 0), ("'k'", 3, None, None), ("'k'", 4, "x", None), ("'k'", 5, "d", None), ("None", 0, "a", None), ("None", 1, "b", None)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_a_table_keeps_no_shuffle_files(spark):
+    from folio.functions import lineage
+
+    key = lineage._CLEANED
+    spark.conf.set(key, "false")
+    table = lineage.cut(spark.range(1000).selectExpr("id % 7 as k", "id").groupBy("k").count())
+    assert spark.conf.get(key) == "false" and sorted(r["count"] for r in table.collect()) == [142] + [143] * 6
+    assert "ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString() and "parquet" in table._jdf.queryExecution().analyzed().toString()
