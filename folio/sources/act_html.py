@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import checkpointed
 from ..functions.text import page_marker
 
 # Forms of ids and headings of acts in HTML.
@@ -228,7 +228,7 @@ def blocks(files: DataFrame) -> DataFrame:
                 columns = [pa.array([r[name] for r in rows], kind) for name, kind in kinds.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(rows), whole), *columns, pa.array([recovered] * len(rows))], ["doc_id", *kinds, "recovered"])
 
-    return cut(files.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInArrow(run, _BLOCK))
+    return checkpointed(files.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInArrow(run, _BLOCK))
 
 
 def _marked(found: DataFrame) -> DataFrame:

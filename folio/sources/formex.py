@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import checkpointed
 from ..functions.text import item_marker, number
 
 # Elements of an act whose text is not their parent's; elements that tell a number.
@@ -65,7 +65,7 @@ def elements(files: DataFrame) -> DataFrame:
                 rows = _read(doc, content)
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["doc_id", "seq", "tag", "identifier", "text", "text_at", "tail", "tail_at", "up", "error"])
 
-    return cut(files.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInArrow(run, _ELEMENT))
+    return checkpointed(files.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInArrow(run, _ELEMENT))
 
 
 def _joined_text(pieces: DataFrame, keys: list[str]) -> DataFrame:
