@@ -178,3 +178,17 @@ def test_batches_of_a_line_give_the_same_nodes(spark, nodes):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     assert sorted(map(repr, found)) == sorted(repr(r) for act in nodes.values() for r in act.values())
+
+
+def test_columns_as_lists_keep_nulls_and_kinds():
+    import pyarrow as pa
+
+    for column in (pa.array([1, None, 2**60 + 1]), pa.array([2**60 + 1, -1]), pa.array([True, None]), pa.array(["a", None, ""]), pa.array([], pa.bool_())):
+        got = layout_act._listed(column)
+        assert got == column.to_pylist() and [type(x) for x in got] == [type(x) for x in column.to_pylist()]
+
+
+def test_a_null_line_is_no_text(spark):
+    frame = spark.createDataFrame([("d", 0, n, line) for n, line in enumerate(["HAVE ADOPTED THIS REGULATION:", "Article 1", "Aim", "  1. It", None, "goes on"])], "doc_id string, page_no int, line_no int, line string")
+    rows = {r["node_id"]: r["text"] for r in layout_act.Parse(frame, F.upper("doc_id")).nodes().collect()}
+    assert rows["d:art_1.par_1"] == "It goes on"
