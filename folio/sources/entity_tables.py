@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import by_document
 from ..functions.text import dehyphenated
 
 # Words of the running header, words of a page that may name its annex, the word that heads a table's second
@@ -25,7 +26,7 @@ def _pages(words: DataFrame, rules: DataFrame, pages: DataFrame) -> DataFrame:
     word = F.struct("seq", F.col("x0").cast("double").alias("x0"), F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom"), "text")
     kinds = {"word": words.select(word.alias("w")).schema["w"].dataType, "rule": "double", "width": "double"}
     told = place(words, "word", word, kinds["word"]).union(place(rules, "rule", F.col("x0"), "double")).union(place(pages, "width", F.col("width"), "double"))
-    return told.repartition("doc_id").groupBy(*_PAGE).agg(F.sort_array(F.collect_list("word")).alias("words"), F.collect_list("rule").alias("rules"), F.max("width").alias("width"))
+    return by_document(told).groupBy(*_PAGE).agg(F.sort_array(F.collect_list("word")).alias("words"), F.collect_list("rule").alias("rules"), F.max("width").alias("width"))
 
 
 def _of_annexes(pages: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import by_document
+
 _NODE = "id string, ptype string, local_id string, citation string, parent string, heading string, text string, is_normative boolean, marker string, children array<string>"
 
 
@@ -24,7 +26,7 @@ def rendered(documents: DataFrame, nodes: DataFrame, reports: DataFrame) -> Data
     # A document's nodes meet once: each is told under its own id and, as a child, under its parent's.
     child = F.struct("ordinal", "seq", "node_id")
     told = F.struct("node_id", own.alias("own"), _none(child).alias("child")), F.struct(F.col("parent_id").alias("node_id"), _none(own).alias("own"), child.alias("child"))
-    each = nodes.repartition("doc_id").select("doc_id", F.inline(F.array(*told))).where("own is not null or node_id is not null")
+    each = by_document(nodes).select("doc_id", F.inline(F.array(*told))).where("own is not null or node_id is not null")
     whole = each.groupBy("doc_id", "node_id").agg(F.collect_list("own").alias("own"), F.transform(F.sort_array(F.collect_list("child")), lambda x: x["node_id"]).alias("children"))
     whole = whole.select("doc_id", "node_id", "children", F.inline("own"))
     node = F.to_json(F.struct(F.col("node_id").alias("id"), "ptype", "local_id", "citation", F.col("parent_id").alias("parent"), empty("heading"), empty("text"), F.coalesce("is_normative", F.lit(False)).alias("is_normative"), empty("marker"), "children"), {"ignoreNullFields": "false"})
@@ -55,7 +57,7 @@ def nodes(texts: DataFrame) -> DataFrame:
 
     seq is the place in the text; ordinal the place among the children of the parent, null where the parent does not list the node. Texts are made and read once.
     """
-    each = texts.repartition("doc_id").select("doc_id", F.posexplode(F.from_json(F.get_json_object("json", "$.nodes"), f"array<struct<{_NODE}>>")).alias("seq", "n"))
+    each = by_document(texts).select("doc_id", F.posexplode(F.from_json(F.get_json_object("json", "$.nodes"), f"array<struct<{_NODE}>>")).alias("seq", "n"))
     # Nodes and the places that their parents list meet within a document, which is in one task.
     own = F.struct(F.col("seq").cast("long").alias("seq"), "n.ptype", "n.local_id", "n.citation", "n.heading", "n.text", "n.is_normative", "n.marker")
     row = lambda parent, name, own, ordinal: F.struct(parent.alias("parent_id"), name.alias("node_id"), own.alias("own"), ordinal.alias("ordinal"))

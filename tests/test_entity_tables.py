@@ -73,7 +73,7 @@ def test_words_are_sent_once_and_not_written(spark):
     plan = layouts.QUERIES["entity_tables"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     tree = plan.split("Final Plan")[-1]
     assert "ExistingRDD" not in tree  # nothing is checkpointed
-    assert "REPARTITION_BY_COL" in tree and tree.count("Exchange hashpartitioning(doc_id") <= 3 and "page_no" not in "".join(line for line in tree.splitlines() if "Exchange hashpartitioning" in line)
+    assert "REPARTITION_BY_NUM" in tree and tree.count("Exchange hashpartitioning(doc_id") <= 3 and "page_no" not in "".join(line for line in tree.splitlines() if "Exchange hashpartitioning" in line)
 
 
 def test_words_above_the_head_and_pages_without_width(spark):
